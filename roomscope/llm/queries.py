@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import table
-from . import packing, tokenizer, topn
+from . import clusters, neighbours, packing, tokenizer, topn
 
 VOCABULARY = tokenizer.vocabulary("byte_bpe_50k")
 
 
+LINK = 0.85
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    found = clusters.members(table(spark, root, "job_photos"), "id", "embedding", LINK)
+    return found.select(F.col("id").alias("photo_id"), F.col("first_id").alias("first_photo_id"))
+
+
+def p3_clusters(spark: SparkSession, root: str) -> DataFrame:
+    photos = table(spark, root, "job_photos")
+    found = cut_lineage(clusters.members(photos, "id", "embedding", LINK))
+    told = clusters.describe(photos, "id", "embedding", "room_cluster_id", found)
+    return told.select(F.col("first_id").alias("first_photo_id"), "size", F.col("typical_ids").alias("typical_photo_ids"), F.col("groups").alias("room_cluster_ids"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     best = topn.top_n(table(spark, root, "job_photos"), "room_cluster_id", "id", "final_score", 3)
     return best.select(F.col("grp").alias("room_cluster_id"), F.col("item").alias("photo_id"))
@@ -21,6 +37,16 @@ def p4_ranked(spark: SparkSession, root: str) -> DataFrame:
     return best.select(F.col("grp").alias("room_cluster_id"), F.col("item").alias("photo_id"), F.col("score").alias("final_score"), "place")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.neighbours(table(spark, root, "job_photos"), "id", "embedding", 5, LINK))
+
+
+def p5_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The five nearest, however far, of every row whose id is divisible by 50, against all rows."""
+    near = neighbours.neighbours(table(spark, root, "job_photos"), "id", "embedding", 5, queries=lambda c: F.pmod(c, F.lit(50)) == 0)
+    return near.select(F.col("id").alias("photo_id"), F.col("near_id").alias("similar_photo_id"), "place", "cosine")
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
 
@@ -43,7 +69,7 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return total.select("containers", F.ceil(F.col("tokens") / packing.CAPACITY).alias("at_least"), "pieces", F.round(F.col("tokens") / (F.greatest("containers", F.lit(1)) * packing.CAPACITY), 6).alias("filled"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill}
 _P4 = """SELECT room_cluster_id, id AS photo_id, final_score, row_number() OVER (PARTITION BY room_cluster_id ORDER BY final_score DESC, id) AS place
   FROM (SELECT DISTINCT id, room_cluster_id, final_score FROM job_photos WHERE room_cluster_id IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score))"""
 SQL = {
