@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIM = 64
 #: Rows of the sample that the centres are fitted on, rows of a cell, cells that a vector goes to on average and at most.
-SAMPLE_ROWS, CELL_ROWS, COPIES, MOST_CELLS = 24_000, 9_000, 3.8, 12
+SAMPLE_ROWS, CELL_ROWS, COPIES, MOST_CELLS = 32_000, 9_000, 3.8, 12
 #: Rows among which equal vectors are put together before the shuffle, and ids kept of each.
 CHUNK_ROWS = 100_000
 ROUTED = "cell bigint, member boolean, asks boolean, id bigint, ids array<bigint>, vec binary, copy bigint"
@@ -98,7 +98,7 @@ def bisect(sample: np.ndarray, cells: int, most: int, seed: int = 5) -> np.ndarr
 
 
 def slack_for(sample: np.ndarray, centres: np.ndarray, copies: float, most: int) -> float:
-    """The slack with which rows of the sample go to ``copies`` cells on average."""
+    """The slack with which rows of ``sample`` go to ``copies`` cells on average."""
     score = np.sort(sample @ centres.T, axis=1)[:, ::-1][:, :most]
     behind = score[:, :1] - score
     low, high = 0.0, 2.0
@@ -115,9 +115,10 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
     drawn = df.where(F.pmod(F.xxhash64(record_id), F.lit(parts)) == 0).select(vector).toArrow()
     x, _ = matrix(drawn.column(0))
     cells = math.ceil(n / cell_rows)
-    if cells < 2 or len(x) < 2:
+    if cells < 2 or len(x) < 4:
         return Cells(np.zeros((1, DIM), np.float32), 0.0)
     x = unit(x[distinct(x)[0]]).astype(np.float32)
+    x, held = x[::2], x[1::2]  # the slack is set on rows that the centres haven't seen, as most of the table's
     centres = bisect(x, cells, max(2, 2 * len(x) // cells))
     for _ in range(3):  # rows go to their nearest centre; nodes that are left without rows keep theirs
         near = np.argmax(x @ centres.T, axis=1)
@@ -125,7 +126,7 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
         np.add.at(sums, near, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
-    return Cells(np.ascontiguousarray(centres, dtype=np.float32), slack_for(x, centres, min(copies, len(centres)), MOST_CELLS))
+    return Cells(np.ascontiguousarray(centres, dtype=np.float32), slack_for(held, centres, min(copies, len(centres)), MOST_CELLS))
 
 
 def _routes(x: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
