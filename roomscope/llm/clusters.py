@@ -174,7 +174,9 @@ def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.
     found = ce.route(df, record_id, vector, cells, 1).groupBy("cell").applyInArrow(run, ROWS)
     rows = found.groupBy("id").agg(F.sort_array(F.collect_set("part")).alias("parts"), F.collect_set("copy").alias("copies"))
     rows = cut_lineage(rows.withColumn("part", F.get("parts", F.lit(0))))
-    edges = rows.where(F.size("parts") > 1).select(F.explode(F.slice("parts", 2, 1 << 20)).alias("u"), F.col("part").alias("v"))
+    # every row stands at its least part; a part whose rows stand at several joins these, and most parts have one
+    stands = rows.where("part is not null").select(F.explode("parts").alias("through"), "part").groupBy("through").agg(F.sort_array(F.collect_set("part")).alias("at"))
+    edges = stands.where(F.size("at") > 1).select(F.explode(F.slice("at", 2, 1 << 20)).alias("u"), F.get("at", F.lit(0)).alias("v"))
     rooted = rows.join(components(edges).withColumnRenamed("u", "part"), "part", "left")
     key = F.coalesce(F.concat(F.lit("part "), F.coalesce("root", "part").cast("string")), F.concat(F.lit("copies of "), F.col("id").cast("string")))
     ids = rooted.select(key.alias("cluster"), F.explode(F.array_union(F.array("id"), "copies")).alias("id"))
