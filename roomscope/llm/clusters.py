@@ -169,7 +169,8 @@ def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.
             if count[own] > 1:
                 ids += reps
                 part += [(key[0].as_py() << SHIFT) + own] * len(reps)
-        return pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array(part, pa.int64()), "copy": pa.nulls(len(ids), pa.int64())})
+        order = np.lexsort((ids, part))
+        return pa.table({"id": pa.array(np.array(ids, np.int64)[order]), "part": pa.array(np.array(part, np.int64)[order]), "copy": pa.nulls(len(ids), pa.int64())})
 
     found = ce.route(df, record_id, vector, cells, 1).groupBy("cell").applyInArrow(run, ROWS)
     rows = found.groupBy("id").agg(F.sort_array(F.collect_set("part")).alias("parts"), F.collect_set("copy").alias("copies"))
@@ -177,12 +178,12 @@ def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.
     # every row stands at its least part; a part whose rows stand at several joins these, and most parts have one
     stands = rows.where("part is not null").select(F.explode("parts").alias("through"), "part").groupBy("through").agg(F.sort_array(F.collect_set("part")).alias("at"))
     edges = stands.where(F.size("at") > 1).select(F.explode(F.slice("at", 2, 1 << 20)).alias("u"), F.get("at", F.lit(0)).alias("v"))
-    rooted = rows.join(components(edges).withColumnRenamed("u", "part"), "part", "left")
-    key = F.coalesce(F.concat(F.lit("part "), F.coalesce("root", "part").cast("string")), F.concat(F.lit("copies of "), F.col("id").cast("string")))
-    ids = rooted.select(key.alias("cluster"), F.explode(F.array_union(F.array("id"), "copies")).alias("id"))
-    ids = ids.groupBy("id").agg(F.min("cluster").alias("cluster"))  # a part, if one delivery is a copy and another represents
-    first = ids.groupBy("cluster").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return ids.join(first, "cluster").select("id", "first_id", "size")
+    rooted = rows.where("part is not null").join(components(edges).withColumnRenamed("u", "part"), "part", "left")
+    ids = rooted.select(F.coalesce("root", "part").alias("root"), F.explode(F.array_union(F.array("id"), "copies")).alias("id")).distinct()
+    first = ids.groupBy("root").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    alone = rows.where("part is null").select(F.array_union(F.array("id"), "copies").alias("ids")).where(F.size("ids") > 1)  # of one chunk, linked to nothing else
+    alone = alone.select(F.explode("ids").alias("id"), F.array_min("ids").alias("first_id"), F.size("ids").cast("bigint").alias("size"))
+    return ids.join(first, "root").select("id", "first_id", "size").union(alone)
 
 
 def describe(df: DataFrame, record_id: str, vector: str, group: str, found: DataFrame, typical: int = 3) -> DataFrame:
