@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.tables import table
-from . import clusters, neighbours, packing, tokenizer, topn
+from . import abuse, clusters, neighbours, packing, tokenizer, topn
 
 VOCABULARY = tokenizer.vocabulary("byte_bpe_50k")
 
@@ -69,7 +69,25 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return total.select("containers", F.ceil(F.col("tokens") / packing.CAPACITY).alias("at_least"), "pieces", F.round(F.col("tokens") / (F.greatest("containers", F.lit(1)) * packing.CAPACITY), 6).alias("filled"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    net = abuse.fit_on(table(spark, root, "content_labels"), docs, "doc_id", "text")
+    return docs.select("doc_id", "source", abuse.score_column(F.col("text"), net).alias("score"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    return _scored(spark, root).select("doc_id", "source", F.round("score", 6).alias("score"))
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates(_scored(spark, root), "source")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _P4 = """SELECT room_cluster_id, id AS photo_id, final_score, row_number() OVER (PARTITION BY room_cluster_id ORDER BY final_score DESC, id) AS place
   FROM (SELECT DISTINCT id, room_cluster_id, final_score FROM job_photos WHERE room_cluster_id IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score))"""
 SQL = {
