@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut_lineage
 from . import cells as ce
 
@@ -131,28 +132,6 @@ def link(x: np.ndarray, least: float) -> np.ndarray:
     return parent[leaf]
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over edges u, v; hubs are cells' clusters, bounded by the number of cells."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return small.where("u != v").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """u, root: the least node of the component of each node that isn't its own root."""
-    now, before = cut_lineage(edges.select("u", "v").where("u != v").distinct()), None
-    for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            return now.select("u", F.col("v").alias("root"))
-        now, before = cut_lineage(_star(now)), state
-    raise RuntimeError("the components did not settle")
-
-
 def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Cells | None = None, **fitted) -> DataFrame:
     """id, first_id, size: every row in a cluster of two or more, with the least id and the size of its cluster."""
     cells = cells or ce.fit(df, record_id, vector, **fitted)
