@@ -39,7 +39,7 @@ def composition(gray: np.ndarray) -> float:
     h, w = gray.shape
     whole = edge.mean() + 1e-8
     mean = lambda a: a.mean() if a.size else np.nan
-    bands = [edge[py_slice(h, k - 10, k + 10), :] for k in (h // 3, 2 * h // 3)] + [edge[:, py_slice(w, k - 10, k + 10)] for k in (w // 3, 2 * w // 3)]
+    bands = [edge[py_slice(h, k - 10, k + 10), :] for k in (h // 3, h // 3 * 2)] + [edge[:, py_slice(w, k - 10, k + 10)] for k in (w // 3, w // 3 * 2)]
     thirds = sum(mean(b) for b in bands) / 4
     centre = mean(edge[h // 3 : 2 * h // 3, w // 3 : 2 * w // 3])
     cap = lambda x: 1.0 if np.isnan(x) else min(1.0, x / whole / 2)

@@ -63,7 +63,7 @@ found AS (
 """
 _P2 = """
 WITH iv AS (
-  SELECT DISTINCT id, timeline_id, CAST(round(in_time * 1000) AS BIGINT) AS s, CAST(round(out_time * 1000) AS BIGINT) AS e FROM timeline_clips
+  SELECT DISTINCT id, timeline_id, TRY_CAST(round(in_time * 1000) AS BIGINT) AS s, TRY_CAST(round(out_time * 1000) AS BIGINT) AS e FROM timeline_clips
   WHERE in_time IS NOT NULL AND out_time IS NOT NULL AND NOT isnan(in_time) AND NOT isnan(out_time)),
 ok AS (SELECT * FROM iv WHERE e > s),
 seen AS (SELECT *, max(e) OVER (PARTITION BY timeline_id ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ok),
