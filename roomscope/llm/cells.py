@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIM = 64
 #: Rows of the sample that the centres are fitted on, rows of a cell, cells that a vector goes to on average and at most.
-SAMPLE_ROWS, CELL_ROWS, COPIES, MOST_CELLS = 32_000, 9_000, 3.8, 12
+SAMPLE_ROWS, CELL_ROWS, COPIES, MOST_CELLS = 32_000, 5_000, 4.2, 12
 #: Rows among which equal vectors are put together before the shuffle, and ids kept of each.
 CHUNK_ROWS = 100_000
 ROUTED = "cell bigint, member boolean, asks boolean, id bigint, ids array<bigint>, vec binary, copy bigint"
