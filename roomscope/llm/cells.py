@@ -166,8 +166,9 @@ def route(df: DataFrame, record_id: str, vector: str, cells: Cells, keep_ids: in
         for start in range(0, len(first), 8192):
             part = first[start : start + 8192]
             row, cell, member = _routes(x[part], cells)
-            keep = member | goes[start + row]
-            row, cell, member = row[keep], cell[keep], member[keep]
+            order = np.argsort(cell, kind="stable")  # the rows of a cell leave together
+            order = order[(member | goes[start + row])[order]]
+            row, cell, member = row[order], cell[order], member[order]
             raw = x[part].tobytes()
             width = 4 * x.shape[1]
             vec = pa.array([raw[r * width : (r + 1) * width] for r in row.tolist()], pa.binary())
