@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that later stages survive the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, through the driver's file server; they need no path of their own."""
+    sc, folder = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_roomscope_shipped", False) or not folder.is_dir():
+        return
+    made = Path(tempfile.mkdtemp(prefix="roomscope-")) / "roomscope.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(folder.rglob("*.py")):
+            z.write(f, f.relative_to(folder.parent))
+    sc.addPyFile(str(made))
+    sc._roomscope_shipped = True
