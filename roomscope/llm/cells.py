@@ -198,8 +198,9 @@ def route(df: DataFrame, record_id: str, vector: str, cells: Cells, keep_ids: in
 
 @dataclass
 class Cell:
-    """The distinct vectors of one cell: unit rows in doubles, whether members and asking, ids of each, and its representatives."""
+    """The distinct vectors of one cell: as sent, as unit rows in doubles, whether members and asking, ids of each, and its representatives."""
 
+    raw: np.ndarray
     x: np.ndarray
     member: np.ndarray
     asks: np.ndarray
@@ -224,7 +225,7 @@ def read_cell(t: pa.Table, keep_ids: int) -> Cell:
         if len(own) > 1:
             ids[w] = sorted(set(own))[:keep_ids]
             reps[w] = sorted(set(reps[w]))
-    return Cell(unit(raw[first]), member, asks, ids, reps)
+    return Cell(raw[first], unit(raw[first]), member, asks, ids, reps)
 
 
 def copies_of(t: pa.Table) -> tuple[pa.Array, pa.Array]:

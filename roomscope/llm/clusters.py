@@ -3,8 +3,9 @@
 The tree starts with the cells of ``cells``, fitted on a sample, and goes on within each cell over all its rows: every node that isn't
 compact is split in two, the loosest first in effect, since all of them are, level by level. A leaf is compact if all its vectors lie so near its
 centre that any two of them are linked. Leaves are then linked with each other: certainly if centres and radii prove it, not at all if they
-exclude it, and else by comparing their vectors exactly. Cells share the vectors that visit them, and through these
-the cells' clusters are joined over the table, by large-star and small-star rounds on the graph of cells' clusters.
+exclude it, and else by comparing their vectors exactly. Every vector is in its nearest cell only; the leaves of different cells are compared in the
+same way, all with all in pairs of blocks, so that no link is missed however the cells lie. The cells' clusters are
+joined over the table by large-star and small-star rounds on the graph of cells' clusters.
 
 Defined cases: vectors that are null, of another length, with an element that is null or not finite, or all zero are left out, as are null ids.
 Copies under other ids are one cluster. Rows of one id count once. Other columns are never read. Empty input yields no rows.
@@ -12,6 +13,8 @@ Copies under other ids are one cluster. Rows of one id count once. Other columns
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,9 +24,12 @@ from ..operators.graph import components
 from ..session import cut_lineage
 from . import cells as ce
 
-#: Bits for the cluster's number within its cell.
-SHIFT = 32
-ROWS = "id bigint, part bigint, copy bigint"
+#: Bits for the leaf's number within its cell, and leaves of a block.
+SHIFT, BLOCK_LEAVES = 32, 100_000
+#: A row of a vector, of a copy, or of a leaf with its unit centre, radius in radians and vectors. A part is a cluster within a cell, named by its least leaf.
+ROWS = "id bigint, part bigint, copy bigint, leaf bigint, centre binary, radius double, vecs binary"
+#: An edge of parts that is certain, or one that the leaves a and b must be compared for.
+EDGES = "u bigint, v bigint, a bigint, b bigint"
 
 
 def leaves(x: np.ndarray, limit: float) -> np.ndarray:
@@ -82,17 +88,30 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = parent[parent]
 
 
+def _compact(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each unit row, and the unit centre and the radius of each leaf, whose rows are all linked."""
+    leaf = leaves(x.astype(np.float32), float(np.cos(np.arccos(least) / 2)) + 1e-5)
+    order = np.argsort(leaf, kind="stable")
+    start = np.flatnonzero(np.r_[True, leaf[order][1:] != leaf[order][:-1]]) if len(x) else np.empty(0, np.int64)
+    centre = np.add.reduceat(x[order], start, axis=0)
+    centre = (centre / np.linalg.norm(centre, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    apart = np.linalg.norm(x[order] - centre[leaf[order]], axis=1)
+    return leaf, centre, np.maximum.reduceat(2 * np.arcsin(np.minimum(apart / 2, 1)), start)
+
+
 def link(x: np.ndarray, least: float) -> np.ndarray:
     """Component of each unit row, rows being linked if their cosine, rounded to nine decimals, is at least ``least``."""
+    leaf, centre, radius = _compact(x, least)
+    return _linked(x, least, leaf, centre, radius)[leaf]
+
+
+def _linked(x: np.ndarray, least: float, leaf: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Component of each leaf."""
     angle = float(np.arccos(least))
-    small = x.astype(np.float32)
-    leaf = leaves(small, float(np.cos(angle / 2)) + 1e-5)
     order = np.argsort(leaf, kind="stable")
     start = np.flatnonzero(np.r_[True, leaf[order][1:] != leaf[order][:-1]]) if len(x) else np.empty(0, np.int64)
     size = np.diff(np.r_[start, len(x)])
-    centre = np.add.reduceat(x[order], start, axis=0)
-    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
-    radius = np.maximum.reduceat(np.arccos(np.clip(np.einsum("ij,ij->i", x[order], centre[leaf[order]]), -1, 1)), start)
     low = centre.astype(np.float32)
     parent = np.arange(len(start))
     unsure = []
@@ -129,7 +148,88 @@ def link(x: np.ndarray, least: float) -> np.ndarray:
                 good = np.round(np.einsum("ij,ij->i", x[p[t]], x[q[t]]), 9) >= least
                 linked[which[t][good]] = True
             parent = _roots(parent, a[linked], b[linked])
-    return parent[leaf]
+    return parent
+
+
+def between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, ...]:
+    """Edges between two blocks of leaves, each as ids, parts, centres (doubles) and radii: EDGES.
+
+    Leaves of one cell are left out, as they were linked there. Certain edges come as a forest; leaves that they join aren't compared.
+    """
+    angle = float(np.arccos(least))
+    by_radius = [np.argsort(s[3], kind="stable") for s in (a, b)]
+    (ia, pa_, ca, ra), (ib, pb, cb, rb) = ([v[o] for v in s] for s, o in zip((a, b), by_radius, strict=True))
+    names, at = np.unique(np.concatenate([pa_, pb]), return_inverse=True)
+    na, nb = at[: len(pa_)], at[len(pa_) :]
+    la, lb = ca.astype(np.float32), cb.astype(np.float32)
+    parent = np.arange(len(names))
+    unsure = [np.empty((2, 0), np.int64)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal parent
+        i, j = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        apart = np.arccos(np.clip(np.einsum("ij,ij->i", ca[i], cb[j]), -1, 1))
+        both = ra[i] + rb[j]
+        sure = apart + both <= angle - 1e-6
+        parent = _roots(parent, na[i[sure]], nb[j[sure]])
+        open_ = ~sure & (apart <= angle + both + 1e-6) & (parent[na[i]] != parent[nb[j]])
+        unsure.append(np.stack([i[open_], j[open_]]))
+
+    for s in range(0, len(ia), 512):  # blocks that stay in the processor's cache
+        for t in range(0, len(ib), 2048):
+            reach = np.cos(np.minimum(angle + ra[s : s + 512] + rb[t : t + 2048][-1] + 1e-6, np.pi)) - 1e-5
+            near = np.flatnonzero((la[s : s + 512] @ lb[t : t + 2048].T >= reach[:, None].astype(np.float32)).ravel())
+            i, j = np.divmod(near, len(lb[t : t + 2048]))
+            i, j = i + s, j + t
+            new = (ia[i] >> SHIFT != ib[j] >> SHIFT) & (parent[na[i]] != parent[nb[j]])
+            held.append((i[new], j[new]))
+            if sum(len(h[0]) for h in held[-64:]) > 200_000 or len(held) > 4096:
+                settle()
+    if held:
+        settle()
+    i, j = np.concatenate(unsure, axis=1)
+    new = parent[na[i]] != parent[nb[j]]
+    i, j = i[new], j[new]
+    joined = np.flatnonzero(parent != np.arange(len(names)))
+    none = np.full(len(joined), -1, np.int64)
+    return tuple(np.concatenate(c) for c in ((names[parent[joined]], pa_[i]), (names[joined], pb[j]), (none, ia[i]), (none, ib[j])))
+
+
+def _edges(found: DataFrame, least: float) -> DataFrame:
+    """u, v: linked parts of different cells."""
+    small = found.where("leaf is not null").select("leaf", "part", "centre", "radius")
+    blocks = math.ceil(small.count() / BLOCK_LEAVES) or 1
+    block = F.pmod(F.xxhash64("leaf"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = small.withColumn("block", block).select("*", other).withColumn("pair", F.least("block", "other") * blocks + F.greatest("block", "other"))
+
+    def run(key, t):
+        raw = np.frombuffer(b"".join(t["centre"].to_pylist()), np.float32).reshape(-1, ce.DIM).astype(np.float64)
+        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+        own = t["block"].to_numpy()
+        all_ = (t["leaf"].to_numpy(), t["part"].to_numpy(), raw, t["radius"].to_numpy())
+        one, two = (tuple(v[own == k] for v in all_) for k in divmod(key[0].as_py(), blocks))
+        u, v, a, b = between(one, two, least)
+        return pa.table({"u": u, "v": v, "a": a, "b": b})
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for one, two in zip(batch["one"].to_pylist(), batch["two"].to_pylist(), strict=True):
+                x, y = (ce.unit(np.frombuffer(raw, np.float32).reshape(-1, ce.DIM)) for raw in (one, two))
+                good.append(any((np.round(np.einsum("ij,kj->ik", x[s : s + 1024], y), 9) >= least).any() for s in range(0, len(x), 1024)))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    drawn = cut_lineage(sent.groupBy("pair").applyInArrow(run, EDGES))
+    sure = drawn.where("a < 0").select("u", "v")
+    vecs = found.where("leaf is not null").select("leaf", "vecs")
+    root = components(sure)
+    unsure = drawn.where("a >= 0").join(root.select(F.col("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v", "left")
+    unsure = unsure.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).dropDuplicates(["a", "b"])
+    unsure = unsure.join(vecs.select(F.col("leaf").alias("a"), F.col("vecs").alias("one")), "a").join(vecs.select(F.col("leaf").alias("b"), F.col("vecs").alias("two")), "b")
+    return sure.union(unsure.select("u", "v", "one", "two").mapInArrow(compare, "u bigint, v bigint"))
 
 
 def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Cells | None = None, **fitted) -> DataFrame:
@@ -139,30 +239,36 @@ def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.
     def run(key, t):
         if key[0].as_py() < 0:
             rep, copy = ce.copies_of(t)
-            return pa.table({"id": rep, "part": pa.nulls(len(rep), pa.int64()), "copy": copy})
+            n = len(rep)
+            return pa.table({"id": rep, "part": pa.nulls(n, pa.int64()), "copy": copy, "leaf": pa.nulls(n, pa.int64()), "centre": pa.nulls(n, pa.binary()), "radius": pa.nulls(n, pa.float64()), "vecs": pa.nulls(n, pa.binary())})
         cell = ce.read_cell(t, 1)
-        label = link(cell.x, least)
-        count = np.bincount(label, weights=[len(r) for r in cell.reps], minlength=len(label) + 1)
-        ids, part = [], []
-        for reps, own in zip(cell.reps, label.tolist(), strict=True):
-            if count[own] > 1:
-                ids += reps
-                part += [(key[0].as_py() << SHIFT) + own] * len(reps)
-        order = np.lexsort((ids, part))
-        return pa.table({"id": pa.array(np.array(ids, np.int64)[order]), "part": pa.array(np.array(part, np.int64)[order]), "copy": pa.nulls(len(ids), pa.int64())})
-
-    found = ce.route(df, record_id, vector, cells, 1).groupBy("cell").applyInArrow(run, ROWS)
-    rows = found.groupBy("id").agg(F.sort_array(F.collect_set("part")).alias("parts"), F.collect_set("copy").alias("copies"))
-    rows = cut_lineage(rows.withColumn("part", F.get("parts", F.lit(0))))
-    # every row stands at its least part; a part whose rows stand at several joins these, and most parts have one
-    stands = rows.where("part is not null").select(F.explode("parts").alias("through"), "part").groupBy("through").agg(F.sort_array(F.collect_set("part")).alias("at"))
-    edges = stands.where(F.size("at") > 1).select(F.explode(F.slice("at", 2, 1 << 20)).alias("u"), F.get("at", F.lit(0)).alias("v"))
-    rooted = rows.where("part is not null").join(components(edges).withColumnRenamed("u", "part"), "part", "left")
-    ids = rooted.select(F.coalesce("root", "part").alias("root"), F.explode(F.array_union(F.array("id"), "copies")).alias("id")).distinct()
-    first = ids.groupBy("root").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
-    alone = rows.where("part is null").select(F.array_union(F.array("id"), "copies").alias("ids")).where(F.size("ids") > 1)  # of one chunk, linked to nothing else
-    alone = alone.select(F.explode("ids").alias("id"), F.array_min("ids").alias("first_id"), F.size("ids").cast("bigint").alias("size"))
-    return ids.join(first, "root").select("id", "first_id", "size").union(alone)
+        base = key[0].as_py() << SHIFT
+        leaf, centre, radius = _compact(cell.x, least)
+        label = base + _linked(cell.x, least, leaf, centre, radius)
+        ids = [r for reps in cell.reps for r in reps]
+        part = np.repeat(label[leaf], [len(reps) for reps in cell.reps])
+        order = np.argsort(leaf, kind="stable")
+        ends = np.cumsum(np.bincount(leaf)) if len(leaf) else []
+        m, n = len(ids), len(radius)
+        raw = cell.raw[order]
+        none = pa.nulls(m, pa.binary())
+        return pa.table({
+            "id": pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(n, pa.int64())]),
+            "part": np.concatenate([part, label]),
+            "copy": pa.nulls(m + n, pa.int64()),
+            "leaf": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(base + np.arange(n))]),
+            "centre": pa.concat_arrays([none, pa.array([c.tobytes() for c in centre.astype(np.float32)], pa.binary())]),
+            "radius": pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(radius)]),
+            "vecs": pa.concat_arrays([none, pa.array([r.tobytes() for r in np.split(raw, ends[:-1])], pa.binary())]),
+        })
+
+    found = cut_lineage(ce.route(df, record_id, vector, cells, 1, F.lit(False)).groupBy("cell").applyInArrow(run, ROWS))
+    rows = found.where("leaf is null").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("copy").alias("copies"))
+    if len(cells.centres) > 1:
+        rows = rows.join(components(_edges(found, least)).withColumnRenamed("u", "part"), "part", "left").withColumn("part", F.coalesce("root", "part"))
+    ids = rows.select(F.col("part").alias("root"), F.explode(F.array_union(F.array("id"), "copies")).alias("id")).distinct()
+    first = ids.groupBy("root").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return ids.join(first, "root").select("id", "first_id", "size")
 
 
 def describe(df: DataFrame, record_id: str, vector: str, group: str, found: DataFrame, typical: int = 3) -> DataFrame:

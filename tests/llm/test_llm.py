@@ -141,6 +141,24 @@ def test_clusters_against_brute_force(spark, cell_rows):
     assert clusters.members(df.limit(0), "id", "v", 0.85).count() == 0
 
 
+def pairs_beside_near_copies():
+    """Rows of which a third are near copies of one vector, the others pairs at a cosine just over 0.85 in all directions."""
+    r = np.random.default_rng(8)
+    a = cells.unit(r.standard_normal((400, 64)))
+    off = r.standard_normal((400, 64))
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    b = 0.86 * a + np.sqrt(1 - 0.86**2) * cells.unit(off)
+    near = cells.unit(r.standard_normal((1, 64))) + 0.02 * r.standard_normal((400, 64))
+    return np.concatenate([a, b, near]).astype(np.float32)
+
+
+def test_clusters_beside_a_third_of_near_copies(spark):
+    x = pairs_beside_near_copies()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(3)
+    got = {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cell_rows=40).collect()}
+    assert got == {i: (i % 400, 2) if i < 800 else (800, 400) for i in range(1200)}
+
+
 def test_links_of_leaves_against_brute_force():
     x = cells.unit(vectors()[0])
     for least in (0.5, 0.85, 0.95):
