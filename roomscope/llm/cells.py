@@ -2,7 +2,9 @@
 
 Bisecting k-means over a bounded sample gives the cells' centres: the node of largest dispersion is split until a cell holds about
 ``cell_rows`` rows of the table. Every valid vector is then routed: as a member to its nearest cell, and as a visitor to each further cell
-whose centre is nearly as near. How near is set on the sample, so that a vector goes to ``copies`` cells on average at any size.
+whose border it is near enough to. Two vectors on both sides of a border together are as far from it as they are apart across it, so one of them is
+within half of that. How far apart two vectors of the floor's cosine are across a border follows from the angle alone; neither the number of cells nor how
+many rows lie elsewhere counts. Without a floor, a vector goes to so many nearest cells that held-out rows find their true nearest.
 
 Equal vectors of a chunk of rows travel once, with the smallest of their ids; the others go along as rows naming their representative.
 """
@@ -20,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
-#: Rows of the sample that the centres are fitted on, rows of a cell, cells that a vector goes to on average and at most.
-SAMPLE_ROWS, CELL_ROWS, COPIES, MOST_CELLS = 32_000, 5_000, 4.2, 12
+#: Rows of the sample that the centres are fitted on, rows of a cell.
+SAMPLE_ROWS, CELL_ROWS = 32_000, 5_000
+#: Standard deviations of the way across a border, in random direction, that the reach covers; recall and rows by which probes are set.
+DEVIATIONS, RECALL, PROBE_ROWS = 3.0, 0.99, 2_000
 #: Rows among which equal vectors are put together before the shuffle, and ids kept of each.
 CHUNK_ROWS = 100_000
 ROUTED = "cell bigint, member boolean, asks boolean, id bigint, ids array<bigint>, vec binary, copy bigint"
@@ -29,10 +33,11 @@ ROUTED = "cell bigint, member boolean, asks boolean, id bigint, ids array<bigint
 
 @dataclass(frozen=True)
 class Cells:
-    """Unit centres, and how much less similar than the nearest a visited cell may be."""
+    """Unit centres, and the sine of the angle to its border within which a cell is visited, or if not 0 the number of nearest cells visited."""
 
     centres: np.ndarray
-    slack: float
+    reach: float
+    probes: int = 0
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
@@ -97,19 +102,39 @@ def bisect(sample: np.ndarray, cells: int, most: int, seed: int = 5) -> np.ndarr
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
 
 
-def slack_for(sample: np.ndarray, centres: np.ndarray, copies: float, most: int) -> float:
-    """The slack with which rows of ``sample`` go to ``copies`` cells on average."""
-    score = np.sort(sample @ centres.T, axis=1)[:, ::-1][:, :most]
-    behind = score[:, :1] - score
+def beyond(score: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sine of the angle of each row to the border between its nearest cell and each cell, given its scores."""
+    home, which = np.unique(np.argmax(score, axis=1), return_inverse=True)
+    apart = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 1e-12))
+    return (score.max(axis=1, keepdims=True) - score) / apart[which.ravel()]
+
+
+def reach_for(sample: np.ndarray, centres: np.ndarray, copies: float) -> float:
+    """The reach with which rows of ``sample`` go to ``copies`` cells on average."""
+    away = beyond(sample @ centres.T, centres)
     low, high = 0.0, 2.0
     for _ in range(40):
         mid = (low + high) / 2
-        low, high = (mid, high) if (behind <= mid).sum(axis=1).mean() < copies else (low, mid)
-    return low
+        low, high = (mid, high) if (away <= mid).sum(axis=1).mean() < copies else (low, mid)
+    return high
+
 
+def probes_for(held: np.ndarray, sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """The nearest cells that hold RECALL of the ``k`` nearest rows of ``sample`` of the held-out rows."""
+    held, home, ranks = held[:PROBE_ROWS], np.argmax(sample @ centres.T, axis=1), []
+    for s in range(0, len(held), 500):
+        close, score = held[s : s + 500] @ sample.T, held[s : s + 500] @ centres.T
+        best = np.argpartition(-close, min(k, len(sample)) - 1, axis=1)[:, :k]
+        own = np.take_along_axis(score, home[best], axis=1)
+        ranks.append((score[:, None, :] > own[:, :, None]).sum(axis=2).ravel())
+    return int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1
 
-def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS, copies: float = COPIES, sample_rows: int = SAMPLE_ROWS) -> Cells:
-    """Centres over a sample of at most about ``sample_rows`` rows, drawn by a hash of the id."""
+
+def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS, copies: float = 1.0, sample_rows: int = SAMPLE_ROWS, floor: float = 1.0, k: int = 5) -> Cells:
+    """Centres over a sample of at most about ``sample_rows`` rows, drawn by a hash of the id.
+
+    The reach is for pairs of cosine ``floor``, more if vectors would go to fewer than ``copies`` cells on average; from -1 on, probes for ``k`` nearest.
+    """
     n = df.count()
     parts = math.ceil(n / sample_rows) if n else 1
     drawn = df.where(F.pmod(F.xxhash64(record_id), F.lit(parts)) == 0).select(vector).toArrow()
@@ -118,7 +143,7 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
     if cells < 2 or len(x) < 4:
         return Cells(np.zeros((1, DIM), np.float32), 0.0)
     x = unit(x[distinct(x)[0]]).astype(np.float32)
-    x, held = x[::2], x[1::2]  # the slack is set on rows that the centres haven't seen, as most of the table's
+    x, held = x[::2], x[1::2]  # reach and probes are set on rows that the centres haven't seen, as most of the table's
     centres = bisect(x, cells, max(2, 2 * len(x) // cells))
     for _ in range(3):  # rows go to their nearest centre; nodes that are left without rows keep theirs
         near = np.argmax(x @ centres.T, axis=1)
@@ -126,21 +151,26 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
         np.add.at(sums, near, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
-    return Cells(np.ascontiguousarray(centres, dtype=np.float32), slack_for(held, centres, min(copies, len(centres)), MOST_CELLS))
+    centres = np.ascontiguousarray(centres, dtype=np.float32)
+    if floor <= -1:
+        return Cells(centres, 0.0, probes_for(held, x, centres, k))
+    reach = DEVIATIONS / 2 * math.sqrt((1 - floor * floor) / DIM)
+    return Cells(centres, max(reach, reach_for(held, centres, min(copies, len(centres))) if copies > 1 else 0.0))
 
 
 def _routes(x: np.ndarray, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell and membership of every route of the vectors."""
     u = unit(x).astype(np.float32)
     score = u @ cells.centres.T
-    most = min(MOST_CELLS, score.shape[1])
-    best = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < score.shape[1] else np.broadcast_to(np.arange(most), score.shape)
-    value = np.take_along_axis(score, best, axis=1)
-    home = np.argmax(value, axis=1)
-    goes = value >= value.max(axis=1, keepdims=True) - cells.slack
+    home = np.argmax(score, axis=1)
+    if cells.probes:
+        most = min(cells.probes, score.shape[1])
+        goes = score >= -np.partition(-score, most - 1, axis=1)[:, most - 1 : most]
+    else:
+        goes = beyond(score, cells.centres) <= cells.reach
     goes[np.arange(len(x)), home] = True
-    row, k = np.nonzero(goes)
-    return row, best[row, k], k == home[row]
+    row, cell = np.nonzero(goes)
+    return row, cell, cell == home[row]
 
 
 def route(df: DataFrame, record_id: str, vector: str, cells: Cells, keep_ids: int, visits: Column | None = None) -> DataFrame:

@@ -36,10 +36,11 @@ def rotation(dim: int = ce.DIM, seed: int = 3) -> np.ndarray:
 def best_of(key: np.ndarray, cos: np.ndarray, tie: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` best entries of each key, each (key, other) once, in order."""
     order = np.lexsort((other, tie, -cos, key))
-    same = np.r_[False, (key[order][1:] == key[order][:-1]) & (other[order][1:] == other[order][:-1])]
+    same = np.zeros(len(order), bool)
+    same[1:] = (key[order][1:] == key[order][:-1]) & (other[order][1:] == other[order][:-1])
     order = order[~same]
     sorted_key = key[order]
-    start = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
+    start = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]][: len(order)])
     place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
     return order[place < k]
 
@@ -51,6 +52,7 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
     """
     turned = x @ rotation(x.shape[1])
     parts = [np.ascontiguousarray(turned[:, a:b], dtype=np.float32) for a, b in zip((0, *BLOCKS), BLOCKS)]
+    whole, wide = turned.astype(np.float32), 2 - 2 * floor > 1
     squares = (parts[0] ** 2).sum(axis=1)
     give = [(1 + CHANCE / np.sqrt(d)) ** 2 * d / x.shape[1] if d < x.shape[1] else 1.0 for d in BLOCKS]
     targets = np.concatenate([-2 * parts[0], np.ones((len(x), 1), np.float32), squares[:, None]], axis=1)
@@ -63,11 +65,14 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
         have = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in range(0, len(members), LIST_ROWS):
             m = members[b : b + LIST_ROWS]
-            if b == 0 and bound[0] > 1:  # nothing known yet: the best of the first block give the first bound
-                close = parts[0][q] @ parts[0][m].T + np.concatenate(parts[1:], axis=1)[q] @ np.concatenate(parts[1:], axis=1)[m].T
-                take = min(k, len(m))
-                j = np.argpartition(-close, take - 1, axis=1)[:, :take].ravel()
-                i = np.repeat(np.arange(len(q)), take)
+            if wide:  # no block of columns tells much: all columns, and the best of the first list give the first bound
+                close = whole[q] @ whole[m].T
+                if b == 0:
+                    take = min(k, len(m))
+                    j = np.argpartition(-close, take - 1, axis=1)[:, :take].ravel()
+                    i = np.repeat(np.arange(len(q)), take)
+                else:
+                    i, j = np.nonzero(close >= (1 - bound / 2 - 2e-5)[:, None])
             else:
                 i, j = np.nonzero(head @ targets[m].T <= (bound * give[0])[:, None])
                 gone = ((parts[0][q[i]] - parts[0][m[j]]) ** 2).sum(axis=1) if len(i) else np.empty(0, np.float32)
@@ -132,7 +137,7 @@ def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: fl
 
     With ``queries``, a condition on the id, only those rows are queries, against all. ``fitted``: arguments of ``cells.fit``.
     """
-    cells = cells or ce.fit(df, record_id, vector, **fitted)
+    cells = cells or ce.fit(df, record_id, vector, floor=floor, k=k, **fitted)
     keep = k + 1  # a row is among its own neighbours until the end
     routed = ce.route(df, record_id, vector, cells, keep, queries and queries(F.col(record_id)))
 

@@ -159,6 +159,13 @@ def test_clusters_beside_a_third_of_near_copies(spark):
     assert got == {i: (i % 400, 2) if i < 800 else (800, 400) for i in range(1200)}
 
 
+def test_neighbours_beside_a_third_of_near_copies(spark):
+    x = pairs_beside_near_copies()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(3)
+    near = neighbours.neighbours(df, "id", "v", 5, 0.85, cell_rows=40).where("id < 800").collect()
+    assert all(abs(r.id - r.near_id) == 400 for r in near) and len(near) >= 0.995 * 800
+
+
 def test_links_of_leaves_against_brute_force():
     x = cells.unit(vectors()[0])
     for least in (0.5, 0.85, 0.95):
