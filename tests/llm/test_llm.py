@@ -166,6 +166,16 @@ def test_neighbours_beside_a_third_of_near_copies(spark):
     assert all(abs(r.id - r.near_id) == 400 for r in near) and len(near) >= 0.995 * 800
 
 
+def test_nearest_without_floor_beside_a_third_of_near_copies(spark):
+    x = pairs_beside_near_copies()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(3)
+    s = cosines(x.astype(np.float64))
+    np.fill_diagonal(s, -9)
+    near = neighbours.neighbours(df, "id", "v", 5, queries=lambda c: F.pmod(c, F.lit(10)) == 0, cell_rows=40).collect()
+    hit = sum(r.near_id in np.argsort(-s[r.id], kind="stable")[:5] for r in near)
+    assert hit >= 0.95 * 5 * 120
+
+
 def test_links_of_leaves_against_brute_force():
     x = cells.unit(vectors()[0])
     for least in (0.5, 0.85, 0.95):
