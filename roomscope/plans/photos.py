@@ -64,7 +64,7 @@ def zero_shot_label(spark: SparkSession, root: str) -> DataFrame:
     v = table(spark, root, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     mean = v.groupBy("label").agg(F.array(*[F.avg(F.get("x", F.lit(k))) for k in range(64)]).alias("p"))
     unit = lambda name: F.transform(name, lambda e: e / F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, q: s + q * q)))
-    protos = mean.select(F.col("label").alias("proto"), unit("p").alias("p")).orderBy("proto").limit(1000)  # the vocabulary's bound, for the broadcast
+    protos = mean.select(F.col("label").alias("proto"), unit("p").alias("p"))
     dot = F.aggregate(F.zip_with("x", "p", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
     scored = v.crossJoin(F.broadcast(protos)).select("vec_id", "proto", dot.alias("d"))
     best = scored.groupBy("vec_id").agg(F.max_by("proto", F.struct("d", -F.col("proto"))).alias("label"), F.max(F.exp("d")).alias("top"), F.sum(F.exp("d")).alias("all"))
