@@ -1,11 +1,11 @@
 """Clusters of mutually similar vectors over the whole table, by bisecting k-means.
 
-The tree starts with the cells of ``cells``, fitted on a sample, and goes on within each cell over all its rows: every node that isn't
-compact is split in two, the loosest first in effect, since all of them are, level by level. A leaf is compact if all its vectors lie so near its
-centre that any two of them are linked. Leaves are then linked with each other: certainly if centres and radii prove it, not at all if they
-exclude it, and else by comparing their vectors exactly. Every vector is in its nearest cell only; the leaves of different cells are compared in the
-same way, all with all in pairs of blocks, so that no link is missed however the cells lie. The cells' clusters are
-joined over the table by large-star and small-star rounds on the graph of cells' clusters.
+The tree starts with the cells of ``cells``, fitted on a sample by splitting the node of largest dispersion, and goes on within each block of a cell over all its rows until a leaf is compact: all
+its vectors lie so near its centre that any two of them are linked. Leaves of a block are linked certainly if centres and radii
+prove it, not at all if they exclude it, and else by comparing their vectors exactly; leaves of different blocks in the same way, where one visits the other's cell
+(``leaves``). The blocks' clusters are joined over the table by large-star and small-star rounds.
+
+With ``exact`` the visits provably reach every link; without it they miss one at the very threshold with a chance of about one in a million (DEVIATIONS in ``cells``).
 
 Defined cases: vectors that are null, of another length, with an element that is null or not finite, or all zero are left out, as are null ids.
 Copies under other ids are one cluster. Rows of one id count once. Other columns are never read. Empty input yields no rows.
@@ -13,8 +13,6 @@ Copies under other ids are one cluster. Rows of one id count once. Other columns
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,86 +21,15 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import cut_lineage
 from . import cells as ce
+from . import leaves as lv
 
-#: Bits for the leaf's number within its cell, and leaves of a block.
-SHIFT, BLOCK_LEAVES = 32, 100_000
-#: A row of a vector, of a copy, or of a leaf with its unit centre, radius in radians and vectors. A part is a cluster within a cell, named by its least leaf.
-ROWS = "id bigint, part bigint, copy bigint, leaf bigint, centre binary, radius double, vecs binary"
-#: An edge of parts that is certain, or one that the leaves a and b must be compared for.
-EDGES = "u bigint, v bigint, a bigint, b bigint"
-
-
-def leaves(x: np.ndarray, limit: float) -> np.ndarray:
-    """Leaf of each unit row: bisected until every row's cosine with its leaf's centre is at least ``limit``."""
-    n = len(x)
-    leaf = np.full(n, -1, np.int64)
-    rows, node, made = np.arange(n), np.zeros(n, np.int64), 0
-    while len(rows):
-        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        size = np.diff(np.r_[start, len(rows)])
-        which = np.repeat(np.arange(len(start)), size)
-        own = x[rows]
-        centre = np.add.reduceat(own, start, axis=0)
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        near = np.einsum("ij,ij->i", own, centre[which])
-        compact = (np.minimum.reduceat(near, start) >= limit) | (size == 1)
-        ended = compact[which]
-        leaf[rows[ended]] = made + (np.cumsum(compact) - 1)[which[ended]]
-        made += int(compact.sum())
-        on = ~ended
-        if not on.any():
-            break
-        rows, own, near, which = rows[on], own[on], near[on], which[on]
-        start = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        size = np.diff(np.r_[start, len(rows)])
-        which = np.repeat(np.arange(len(start)), size)
-        first = np.lexsort((near, which))[start]  # the row farthest from the centre, and the one farthest from that
-        second = np.lexsort((np.einsum("ij,ij->i", own, own[first][which]), which))[start]
-        apart = own[first] - own[second]
-        side = np.zeros(len(rows), bool)
-        for k in range(3):
-            now = np.einsum("ij,ij->i", own, apart[which]) > 0
-            now[first], now[second] = (True, False) if k == 0 else (now[first], now[second])
-            count = np.add.reduceat(now.astype(np.int64), start)
-            bad = (count == 0) | (count == size)
-            side = np.where(bad[which], side, now)
-            if k == 2:
-                break
-            one = np.add.reduceat(np.where(side[:, None], own, 0), start, axis=0)
-            two = np.add.reduceat(np.where(side[:, None], 0, own), start, axis=0)
-            apart = one / np.maximum(np.linalg.norm(one, axis=1, keepdims=True), 1e-12) - two / np.maximum(np.linalg.norm(two, axis=1, keepdims=True), 1e-12)
-        order = np.argsort(which * 2 + side, kind="stable")
-        rows, node = rows[order], (which * 2 + side)[order]
-    return leaf
-
-
-def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least label of each component after adding the edges a-b."""
-    while True:
-        pa_, pb = parent[a], parent[b]
-        low, high = np.minimum(pa_, pb), np.maximum(pa_, pb)
-        if (low == high).all():
-            return parent
-        np.minimum.at(parent, high, low)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-
-
-def _compact(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf of each unit row, and the unit centre and the radius of each leaf, whose rows are all linked."""
-    leaf = leaves(x.astype(np.float32), float(np.cos(np.arccos(least) / 2)) + 1e-5)
-    order = np.argsort(leaf, kind="stable")
-    start = np.flatnonzero(np.r_[True, leaf[order][1:] != leaf[order][:-1]]) if len(x) else np.empty(0, np.int64)
-    centre = np.add.reduceat(x[order], start, axis=0)
-    centre = (centre / np.linalg.norm(centre, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
-    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
-    apart = np.linalg.norm(x[order] - centre[leaf[order]], axis=1)
-    return leaf, centre, np.maximum.reduceat(2 * np.arcsin(np.minimum(apart / 2, 1)), start)
+#: A row of a vector with its leaf, part and cosine with the leaf's centre; of a copy; of a leaf with its vectors; or of a visit. A part is a cluster within a block, named by its least leaf.
+ROWS = f"id bigint, part bigint, near double, copy bigint, leaf bigint, vecs binary, {lv.VISIT}"
 
 
 def link(x: np.ndarray, least: float) -> np.ndarray:
     """Component of each unit row, rows being linked if their cosine, rounded to nine decimals, is at least ``least``."""
-    leaf, centre, radius = _compact(x, least)
+    leaf, centre, radius = lv.compact(x, least)
     return _linked(x, least, leaf, centre, radius)[leaf]
 
 
@@ -114,174 +41,144 @@ def _linked(x: np.ndarray, least: float, leaf: np.ndarray, centre: np.ndarray, r
     size = np.diff(np.r_[start, len(x)])
     low = centre.astype(np.float32)
     parent = np.arange(len(start))
-    unsure = []
     widest = float(radius.max(initial=0))
+
+    def compare(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        """The exact comparison, nearest first, of leaves that aren't joined yet."""
+        nonlocal parent
+        nearest_first = np.argsort(apart, kind="stable")
+        i, j = i[nearest_first], j[nearest_first]
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            new = parent[a] != parent[b]
+            a, b = a[new], b[new]
+            pairs = size[a] * size[b]
+            for cut in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(pairs) // 1_000_000)) + 1):
+                if not len(cut):
+                    continue
+                n = pairs[cut]
+                which = np.repeat(cut, n)
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                p, q = order[start[a[which]] + k // size[b[which]]], order[start[b[which]] + k % size[b[which]]]
+                linked = np.zeros(len(a), bool)
+                for s in range(0, len(p), 65536):
+                    t = slice(s, s + 65536)
+                    good = np.round(np.einsum("ij,ij->i", x[p[t]], x[q[t]]), 9) >= least
+                    linked[which[t][good]] = True
+                parent = lv.roots(parent, a[linked], b[linked])
+
+    held: list[tuple[np.ndarray, ...]] = []
     for s in range(0, len(start), 2048):
         reach = np.cos(np.minimum(angle + radius[s : s + 2048] + widest, np.pi)) - 1e-5
         i, j = np.nonzero(low[s : s + 2048] @ low[s:].T >= reach[:, None].astype(np.float32))
         i, j = (i + s)[i < j], (j + s)[i < j]
-        apart = np.arccos(np.clip(np.einsum("ij,ij->i", centre[i], centre[j]), -1, 1))
+        apart = lv.angle_of(centre[i], centre[j])
         sure = apart + radius[i] + radius[j] <= angle - 1e-6
-        parent = _roots(parent, i[sure], j[sure])
+        parent = lv.roots(parent, i[sure], j[sure])
         open_ = ~sure & (apart <= angle + radius[i] + radius[j] + 1e-6)
-        unsure.append(np.stack([i[open_], j[open_], (apart[open_] * 1e9).astype(np.int64)]))
-    i, j, apart = np.concatenate(unsure, axis=1) if unsure else np.empty((3, 0), np.int64)
-    nearest_first = np.argsort(apart, kind="stable")
-    i, j = i[nearest_first], j[nearest_first]
-    step, at = 4096, 0
-    while at < len(i):  # the exact comparison, of leaves that aren't joined yet
-        a, b = i[at : at + step], j[at : at + step]
-        at += step
-        new = parent[a] != parent[b]
-        a, b = a[new], b[new]
-        pairs = size[a] * size[b]
-        for cut in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(pairs) // 1_000_000)) + 1):
-            if not len(cut):
-                continue
-            n = pairs[cut]
-            which = np.repeat(cut, n)
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p, q = order[start[a[which]] + k // size[b[which]]], order[start[b[which]] + k % size[b[which]]]
-            linked = np.zeros(len(a), bool)
-            for s in range(0, len(p), 65536):
-                t = slice(s, s + 65536)
-                good = np.round(np.einsum("ij,ij->i", x[p[t]], x[q[t]]), 9) >= least
-                linked[which[t][good]] = True
-            parent = _roots(parent, a[linked], b[linked])
+        held.append((i[open_], j[open_], apart[open_]))
+        if sum(len(h[0]) for h in held) > 2_000_000:  # bounds the memory, whatever the leaves
+            compare(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        compare(*map(np.concatenate, zip(*held, strict=True)))
     return parent
 
 
-def between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, ...]:
-    """Edges between two blocks of leaves, each as ids, parts, centres (doubles) and radii: EDGES.
+def grown(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Cells) -> DataFrame:
+    """ROWS of all blocks, in the checkpoint folder."""
 
-    Leaves of one cell are left out, as they were linked there. Certain edges come as a forest; leaves that they join aren't compared.
-    """
-    angle = float(np.arccos(least))
-    by_radius = [np.argsort(s[3], kind="stable") for s in (a, b)]
-    (ia, pa_, ca, ra), (ib, pb, cb, rb) = ([v[o] for v in s] for s, o in zip((a, b), by_radius, strict=True))
-    names, at = np.unique(np.concatenate([pa_, pb]), return_inverse=True)
-    na, nb = at[: len(pa_)], at[len(pa_) :]
-    la, lb = ca.astype(np.float32), cb.astype(np.float32)
-    parent = np.arange(len(names))
-    unsure = [np.empty((2, 0), np.int64)]
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle() -> None:
-        nonlocal parent
-        i, j = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        apart = np.arccos(np.clip(np.einsum("ij,ij->i", ca[i], cb[j]), -1, 1))
-        both = ra[i] + rb[j]
-        sure = apart + both <= angle - 1e-6
-        parent = _roots(parent, na[i[sure]], nb[j[sure]])
-        open_ = ~sure & (apart <= angle + both + 1e-6) & (parent[na[i]] != parent[nb[j]])
-        unsure.append(np.stack([i[open_], j[open_]]))
-
-    for s in range(0, len(ia), 512):  # blocks that stay in the processor's cache
-        for t in range(0, len(ib), 2048):
-            reach = np.cos(np.minimum(angle + ra[s : s + 512] + rb[t : t + 2048][-1] + 1e-6, np.pi)) - 1e-5
-            near = np.flatnonzero((la[s : s + 512] @ lb[t : t + 2048].T >= reach[:, None].astype(np.float32)).ravel())
-            i, j = np.divmod(near, len(lb[t : t + 2048]))
-            i, j = i + s, j + t
-            new = (ia[i] >> SHIFT != ib[j] >> SHIFT) & (parent[na[i]] != parent[nb[j]])
-            held.append((i[new], j[new]))
-            if sum(len(h[0]) for h in held[-64:]) > 200_000 or len(held) > 4096:
-                settle()
-    if held:
-        settle()
-    i, j = np.concatenate(unsure, axis=1)
-    new = parent[na[i]] != parent[nb[j]]
-    i, j = i[new], j[new]
-    joined = np.flatnonzero(parent != np.arange(len(names)))
-    none = np.full(len(joined), -1, np.int64)
-    return tuple(np.concatenate(c) for c in ((names[parent[joined]], pa_[i]), (names[joined], pb[j]), (none, ia[i]), (none, ib[j])))
-
-
-def _edges(found: DataFrame, least: float) -> DataFrame:
-    """u, v: linked parts of different cells."""
-    small = found.where("leaf is not null").select("leaf", "part", "centre", "radius")
-    blocks = math.ceil(small.count() / BLOCK_LEAVES) or 1
-    block = F.pmod(F.xxhash64("leaf"), F.lit(blocks))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    sent = small.withColumn("block", block).select("*", other).withColumn("pair", F.least("block", "other") * blocks + F.greatest("block", "other"))
+    def table(n: int, **columns) -> pa.Table:
+        names = {"id": pa.int64(), "part": pa.int64(), "near": pa.float64(), "copy": pa.int64(), "leaf": pa.int64(), "vecs": pa.binary(), "cell": pa.int64(), "slice": pa.int32(), "member": pa.bool_(), "own": pa.int64(), "pack": pa.binary()}
+        return pa.table({k: columns[k] if k in columns else pa.nulls(n, kind) for k, kind in names.items()}, schema=pa.schema(list(names.items())))
 
     def run(key, t):
-        raw = np.frombuffer(b"".join(t["centre"].to_pylist()), np.float32).reshape(-1, ce.DIM).astype(np.float64)
-        raw /= np.linalg.norm(raw, axis=1, keepdims=True)
-        own = t["block"].to_numpy()
-        all_ = (t["leaf"].to_numpy(), t["part"].to_numpy(), raw, t["radius"].to_numpy())
-        one, two = (tuple(v[own == k] for v in all_) for k in divmod(key[0].as_py(), blocks))
-        u, v, a, b = between(one, two, least)
-        return pa.table({"u": u, "v": v, "a": a, "b": b})
+        if key[0].as_py() < 0:
+            rep, copy = ce.copies_of(t)
+            return table(len(rep), id=rep, copy=copy)
+        at, block = key[0].as_py(), key[1].as_py()
+        cell = ce.read_cell(t, 1, cells.dim)
+        leaf, centre, radius = lv.compact(cell.x, least)
+        part = _linked(cell.x, least, leaf, centre, radius)
+        base = lv.own_number(at, block) << lv.LEAF_BITS
+        row, ids = cell.reps
+        near = np.round(np.einsum("ij,ij->i", cell.x, centre[leaf]), 9)
+        out = [table(len(ids), id=pa.array(ids), part=pa.array(base + part[leaf[row]]), near=pa.array(near[row]), leaf=pa.array(base + leaf[row]))]
+        if len(cells.centres) > 1 or cells.blocks[0] > 1:
+            order = np.argsort(leaf, kind="stable")
+            raw = [r.tobytes() for r in np.split(cell.raw[order], np.cumsum(np.bincount(leaf))[:-1])]
+            out.append(table(len(raw), leaf=pa.array(base + np.arange(len(raw))), vecs=pa.array(raw, pa.binary())))
+            pack = lv.packed(cell.x, leaf, centre, part, np.full(len(centre), least))
+            sent = lv.visits(cell.x, leaf, pack, at, block, cells)
+            out.append(table(len(sent["cell"]), **sent))
+        return pa.concat_tables(out)
+
+    return cut_lineage(ce.route(df, record_id, vector, cells, 1).groupBy("cell", "block").applyInArrow(run, ROWS))
+
+
+def _edges(found: DataFrame, least: float, cells: ce.Cells) -> DataFrame:
+    """u, v: linked parts of different blocks."""
 
     def compare(batches):
         for batch in batches:
             good = []
-            for one, two in zip(batch["one"].to_pylist(), batch["two"].to_pylist(), strict=True):
-                x, y = (ce.unit(np.frombuffer(raw, np.float32).reshape(-1, ce.DIM)) for raw in (one, two))
+            for one, two in zip(batch["one_vecs"].to_pylist(), batch["two_vecs"].to_pylist(), strict=True):
+                x, y = (ce.unit(np.frombuffer(raw, np.float32).reshape(-1, cells.dim)) for raw in (one, two))
                 good.append(any((np.round(np.einsum("ij,kj->ik", x[s : s + 1024], y), 9) >= least).any() for s in range(0, len(x), 1024)))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    drawn = cut_lineage(sent.groupBy("pair").applyInArrow(run, EDGES))
-    sure = drawn.where("a < 0").select("u", "v")
-    vecs = found.where("leaf is not null").select("leaf", "vecs")
-    root = components(sure)
-    unsure = drawn.where("a >= 0").join(root.select(F.col("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v", "left")
-    unsure = unsure.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).dropDuplicates(["a", "b"])
-    unsure = unsure.join(vecs.select(F.col("leaf").alias("a"), F.col("vecs").alias("one")), "a").join(vecs.select(F.col("leaf").alias("b"), F.col("vecs").alias("two")), "b")
-    return sure.union(unsure.select("u", "v", "one", "two").mapInArrow(compare, "u bigint, v bigint"))
+    sent = found.where("pack is not null").select("cell", "slice", "member", "own", "pack")
+    drawn = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.sure_and_open(t, least, cells), "u bigint, v bigint, a bigint, b bigint"))
+    open_ = drawn.where("a is not null").dropDuplicates(["a", "b"])
+    exact = lv.with_vectors(open_, found.where("vecs is not null").select("leaf", "vecs"), "vecs").select("u", "v", "one_vecs", "two_vecs").mapInArrow(compare, "u bigint, v bigint")
+    return drawn.where("a is null").select("u", "v").union(exact)
 
 
 def members(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Cells | None = None, **fitted) -> DataFrame:
-    """id, first_id, size: every row in a cluster of two or more, with the least id and the size of its cluster."""
-    cells = cells or ce.fit(df, record_id, vector, **fitted)
-
-    def run(key, t):
-        if key[0].as_py() < 0:
-            rep, copy = ce.copies_of(t)
-            n = len(rep)
-            return pa.table({"id": rep, "part": pa.nulls(n, pa.int64()), "copy": copy, "leaf": pa.nulls(n, pa.int64()), "centre": pa.nulls(n, pa.binary()), "radius": pa.nulls(n, pa.float64()), "vecs": pa.nulls(n, pa.binary())})
-        cell = ce.read_cell(t, 1)
-        base = key[0].as_py() << SHIFT
-        leaf, centre, radius = _compact(cell.x, least)
-        label = base + _linked(cell.x, least, leaf, centre, radius)
-        ids = [r for reps in cell.reps for r in reps]
-        part = np.repeat(label[leaf], [len(reps) for reps in cell.reps])
-        order = np.argsort(leaf, kind="stable")
-        ends = np.cumsum(np.bincount(leaf)) if len(leaf) else []
-        m, n = len(ids), len(radius)
-        raw = cell.raw[order]
-        none = pa.nulls(m, pa.binary())
-        return pa.table({
-            "id": pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(n, pa.int64())]),
-            "part": np.concatenate([part, label]),
-            "copy": pa.nulls(m + n, pa.int64()),
-            "leaf": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(base + np.arange(n))]),
-            "centre": pa.concat_arrays([none, pa.array([c.tobytes() for c in centre.astype(np.float32)], pa.binary())]),
-            "radius": pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(radius)]),
-            "vecs": pa.concat_arrays([none, pa.array([r.tobytes() for r in np.split(raw, ends[:-1])], pa.binary())]),
-        })
-
-    found = cut_lineage(ce.route(df, record_id, vector, cells, 1, F.lit(False)).groupBy("cell").applyInArrow(run, ROWS))
-    rows = found.where("leaf is null").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("copy").alias("copies"))
-    if len(cells.centres) > 1:
-        rows = rows.join(components(_edges(found, least)).withColumnRenamed("u", "part"), "part", "left").withColumn("part", F.coalesce("root", "part"))
+    """id, first_id, size: every row in a cluster of two or more, with the least id and the size of its cluster. ``fitted``: arguments of ``cells.fit``."""
+    cells = cells or ce.fit(df, record_id, vector, floor=least, **fitted)
+    found = grown(df, record_id, vector, least, cells)
+    rows = found.where("id is not null").groupBy("id").agg(F.min("part").alias("part"), F.collect_set("copy").alias("copies"))
+    if len(cells.centres) > 1 or cells.blocks[0] > 1:
+        rows = rows.join(components(_edges(found, least, cells)).withColumnRenamed("u", "part"), "part", "left").withColumn("part", F.coalesce("root", "part"))
     ids = rows.select(F.col("part").alias("root"), F.explode(F.array_union(F.array("id"), "copies")).alias("id")).distinct()
     first = ids.groupBy("root").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return ids.join(first, "root").select("id", "first_id", "size")
 
 
-def describe(df: DataFrame, record_id: str, vector: str, group: str, found: DataFrame, typical: int = 3) -> DataFrame:
-    """first_id, size, typical_ids (nearest to the centre first) and the recorded groups of each cluster of ``found``."""
-    rows = df.select(F.col(record_id).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col(group).alias("grp")).dropDuplicates(["id"])
+def leaf_sizes(df: DataFrame, record_id: str, vector: str, least: float, typical: int = 3, cells: ce.Cells | None = None, **fitted) -> DataFrame:
+    """leaf, size, typical_ids: the leaves of the tree with their rows and the ``typical`` nearest to their centres, nearest first, then the smaller id."""
+    cells = cells or ce.fit(df, record_id, vector, floor=least, **fitted)
+    found = grown(df, record_id, vector, least, cells)
+    rows = found.where("id is not null").groupBy("id").agg(F.min("leaf").alias("leaf"), F.max("near").alias("near"), F.collect_set("copy").alias("copies"))
+    rows = rows.select("leaf", "near", F.explode(F.array_union(F.array("id"), "copies")).alias("id")).dropDuplicates(["id"])
+    size = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(_typical(rows, "leaf", typical), "leaf")
+
+
+def _typical(rows: DataFrame, key: str, typical: int) -> DataFrame:
+    """The ids of largest ``near`` of each key; at most ``typical`` of a key leave a task."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("near"), "id"))
+    best = rows.withColumn("place", place).where(F.col("place") <= typical).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("best"))
+    return best.select(key, F.col("best.id").alias("typical_ids"))
+
+
+def describe(df: DataFrame, record_id: str, vector: str, group: str, found: DataFrame, typical: int = 3, dim: int = ce.DIM) -> DataFrame:
+    """first_id, size, typical_ids (nearest to the centre first) and the number of recorded groups of each cluster of ``found``; ``recorded`` lists the groups."""
+    rows = df.select(F.col(record_id).alias("id"), F.col(vector).cast("array<float>").alias("x"), F.col(group).alias("grp")).dropDuplicates(["id"])
     rows = rows.join(found, "id")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
-    rows = rows.withColumn("x", F.transform("x", lambda e: e / norm))
-    means = rows.groupBy("first_id").agg(*[F.avg(F.get("x", F.lit(k))).alias(f"c{k}") for k in range(ce.DIM)])
-    centres = means.select("first_id", F.array(*[f"c{k}" for k in range(ce.DIM)]).alias("c"))
-    near = F.round(F.aggregate(F.zip_with("x", "c", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e), 9)
-    ranked = rows.join(centres, "first_id").select("first_id", "id", near.alias("near"))
-    place = F.row_number().over(Window.partitionBy("first_id").orderBy(F.desc("near"), "id"))
-    best = ranked.withColumn("place", place).where(F.col("place") <= typical).groupBy("first_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("best"))
-    sets = rows.groupBy("first_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("grp")).alias("groups"))
-    return sets.join(best, "first_id").select("first_id", "size", F.col("best.id").alias("typical_ids"), "groups")
+    double = F.transform("x", lambda e: e.cast("double"))
+    norm = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, e: s + e * e))
+    means = rows.withColumn("n", norm).groupBy("first_id").agg(*[F.avg(F.get("x", F.lit(k)).cast("double") / F.col("n")).alias(f"c{k}") for k in range(dim)])
+    centres = means.select("first_id", F.array(*[f"c{k}" for k in range(dim)]).alias("c"))
+    near = F.round(F.aggregate(F.zip_with(double, "c", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) / norm, 9)
+    best = _typical(rows.join(centres, "first_id").select("first_id", "id", near.alias("near")), "first_id", typical)
+    sets = found.groupBy("first_id").agg(F.max("size").alias("size"))
+    groups = recorded(df, record_id, group, found).groupBy("first_id").agg(F.count("grp").alias("groups"))
+    return sets.join(best, "first_id").join(groups, "first_id").select("first_id", "size", "typical_ids", "groups")
+
+
+def recorded(df: DataFrame, record_id: str, group: str, found: DataFrame) -> DataFrame:
+    """first_id, grp, rows: the groups under which the rows of each cluster are recorded, null ones too."""
+    rows = df.select(F.col(record_id).alias("id"), F.col(group).alias("grp")).dropDuplicates(["id"]).join(found, "id")
+    return rows.groupBy("first_id", "grp").agg(F.count(F.lit(1)).alias("rows"))

@@ -1,10 +1,13 @@
 """The k most similar vectors of every vector, by an adaptive dimension scan of probed lists.
 
-The lists are the cells of ``cells``: a vector scans its own and those it visits. Vectors are rotated at random and stored in blocks
+The lists are the blocks of the cells of ``cells``. Vectors are turned at random and stored in blocks
 of columns. After each block the partial squared distance, scaled to all dimensions, is tested against the bound of the query, its k-th best
 so far or the least similarity asked for: a candidate whose estimate exceeds it by more than chance allows is abandoned. What is left is compared exactly, in
 doubles rounded to nine decimals. A pair found from either side counts for both.
 
+With a floor, a vector scans its own list; then compact leaves of neighbouring vectors, not single ones, probe the other lists (``leaves``), and the vectors of two leaves are scanned against each other
+unless the leaves' radii prove that no pair of theirs reaches the floor or the k-th best so far. Without a floor, or for single queries, the queries themselves go to the lists they probe.
+
 Defined cases: vectors that are null, of another length, with an element that is null or not finite, or all zero are left out, as are null ids.
 Copies under other ids are neighbours of each other at cosine 1. Ties go to the smaller id. Rows of one id count once. Other columns are
 never read. Empty input yields no rows.
@@ -13,21 +16,28 @@ never read. Empty input yields no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import cells as ce
+from . import leaves as lv
 
-#: Columns after which a candidate is tested, and how many standard errors of chance it is given.
-BLOCKS, CHANCE = (32, 48, 64), 2.1
+#: Columns of a block, after each of which a candidate is tested, and how many standard errors of chance it is given. Where over WASTE of the
+#: candidates of a first piece outlast the first block, the next one is joined to it.
+BLOCK, CHANCE, WASTE = 16, 3.0, 0.02
 QUERY_ROWS, LIST_ROWS = 4096, 2048
 SCALE = 1_000_000_000
 FOUND = "rep bigint, far array<int>, near array<bigint>, copy bigint"
+#: FOUND, or a leaf with its vectors and their names (numbers of ids and representatives of each, ids, representatives), or a visit of ``leaves``.
+ROWS = f"{FOUND}, leaf bigint, vecs binary, names binary, {lv.VISIT}"
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int = ce.DIM, seed: int = 3) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -45,16 +55,37 @@ def best_of(key: np.ndarray, cos: np.ndarray, tie: np.ndarray, other: np.ndarray
     return order[place < k]
 
 
+def allowance(columns: int, dim: int) -> float:
+    """The share of a squared distance that the first ``columns`` of a vector near enough may show."""
+    return min(1.0, (1 + CHANCE / np.sqrt(columns)) ** 2 * columns / dim) if columns < dim else 1.0
+
+
+def first_blocks(x: np.ndarray, queries: np.ndarray, members: np.ndarray, bound: float) -> list[int]:
+    """The columns after which candidates are tested."""
+    dim = x.shape[1]
+    ends = [*range(BLOCK, dim, BLOCK), dim]
+    q, m = x[queries[:256]], x[members[:1024]]
+    while len(ends) > 1:
+        d = ends[0]
+        apart = (q[:, :d] ** 2).sum(axis=1)[:, None] + (m[:, :d] ** 2).sum(axis=1) - 2 * q[:, :d] @ m[:, :d].T
+        if (apart <= bound * allowance(d, dim)).mean() <= WASTE:
+            break
+        ends = ends[1:]
+    return ends
+
+
 def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, neighbour and rounded cosine of the ``k`` best of each row, as far as the scan of ``queries`` against ``members`` finds them.
 
     ``x`` has unit rows. ``tie`` orders equal ones. The row itself is among its own.
     """
-    turned = x @ rotation(x.shape[1])
-    parts = [np.ascontiguousarray(turned[:, a:b], dtype=np.float32) for a, b in zip((0, *BLOCKS), BLOCKS)]
+    dim = x.shape[1]
+    turned = x @ rotation(dim)
     whole, wide = turned.astype(np.float32), 2 - 2 * floor > 1
+    ends = first_blocks(whole, queries, members, 2 - 2 * floor) if not wide else [dim]
+    parts = [np.ascontiguousarray(whole[:, a:b]) for a, b in zip((0, *ends), ends)]
     squares = (parts[0] ** 2).sum(axis=1)
-    give = [(1 + CHANCE / np.sqrt(d)) ** 2 * d / x.shape[1] if d < x.shape[1] else 1.0 for d in BLOCKS]
+    give = [allowance(d, dim) for d in ends]
     targets = np.concatenate([-2 * parts[0], np.ones((len(x), 1), np.float32), squares[:, None]], axis=1)
     out: list[tuple[np.ndarray, ...]] = []
     back = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -104,54 +135,42 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
     return row[keep], other[keep], cos[keep]
 
 
-def _lists(cell: ce.Cell, row: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> pa.Table:
-    """The ``k`` best ids of each representative that has any but itself."""
-    sizes = np.array([len(i) for i in cell.ids])
-    flat = np.array([i for own in cell.ids for i in own], dtype=np.int64)
+def _best_ids(ids: tuple[np.ndarray, np.ndarray], row: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and cosine of the ``k`` best ids of each row; ``ids`` has the rows and ids of all, in order of rows."""
+    n = int(max(row.max(initial=-1), other.max(initial=-1), ids[0].max(initial=-1))) + 1
+    sizes = np.bincount(ids[0], minlength=n)
     start = np.cumsum(sizes) - sizes
-    own = np.arange(len(sizes))
-    row, other, cos = np.r_[row, own], np.r_[other, own], np.r_[cos, np.ones(len(own))]
-    n = sizes[other]
-    row, cos = np.repeat(row, n), np.repeat(cos, n)
-    ids = flat[np.repeat(start[other] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    keep = best_of(row, cos, ids, ids, k)
-    row, ids, far = row[keep], ids[keep], np.round((1 - cos[keep]) * SCALE).astype(np.int32)
-    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-    end = np.r_[begin[1:], len(row)]
-    reps, a, b = [], [], []
-    for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-        if e - s > 1 and cell.asks[row[s]]:
-            for r in cell.reps[row[s]]:
-                reps.append(r)
-                a.append(s)
-                b.append(e)
-    take = np.concatenate([np.arange(s, e) for s, e in zip(a, b, strict=True)]) if a else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[0, np.cumsum(np.array(b, np.int64) - np.array(a, np.int64))].astype(np.int32))
-    far_list = pa.ListArray.from_arrays(offsets, pa.array(far[take], pa.int32()))
-    near_list = pa.ListArray.from_arrays(offsets, pa.array(ids[take], pa.int64()))
-    return pa.table({"rep": pa.array(reps, pa.int64()), "far": far_list, "near": near_list, "copy": pa.nulls(len(reps), pa.int64())})
+    times = sizes[other]
+    row, cos = np.repeat(row, times), np.repeat(cos, times)
+    near = ids[1][np.repeat(start[other] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+    keep = best_of(row, cos, near, near, k)
+    return row[keep], near[keep], cos[keep]
 
 
-def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: float = -1.0, queries: Callable[[Column], Column] | None = None, cells: ce.Cells | None = None, **fitted) -> DataFrame:
-    """id, near_id, place, cosine: the ``k`` most similar vectors of each, of at least ``floor``.
+def _lists(reps: tuple[np.ndarray, np.ndarray], row: np.ndarray, near: np.ndarray, cos: np.ndarray) -> dict[str, pa.Array]:
+    """rep, far, near of each representative of the rows, which are in order, with all their entries."""
+    n = int(max(row.max(initial=-1), reps[0].max(initial=-1))) + 1
+    count = np.bincount(row, minlength=n)
+    begin = np.cumsum(count) - count
+    of, rep = (v[count[reps[0]] > 0] for v in reps)
+    size = count[of]
+    take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[of], size)
+    offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+    far = np.round((1 - cos) * SCALE).astype(np.int32)
+    return {"rep": pa.array(rep, pa.int64()), "far": pa.ListArray.from_arrays(offsets, pa.array(far[take], pa.int32())), "near": pa.ListArray.from_arrays(offsets, pa.array(near[take], pa.int64()))}
 
-    With ``queries``, a condition on the id, only those rows are queries, against all. ``fitted``: arguments of ``cells.fit``.
-    """
-    cells = cells or ce.fit(df, record_id, vector, floor=floor, k=k, **fitted)
-    keep = k + 1  # a row is among its own neighbours until the end
-    routed = ce.route(df, record_id, vector, cells, keep, queries and queries(F.col(record_id)))
 
-    def run(key, t):
-        if key[0].as_py() < 0:
-            rep, copy = ce.copies_of(t)
-            n = len(rep)
-            return pa.table({"rep": rep, "far": pa.nulls(n, pa.list_(pa.int32())), "near": pa.nulls(n, pa.list_(pa.int64())), "copy": copy})
-        cell = ce.read_cell(t, keep)
-        tie = np.array([own[0] for own in cell.ids], dtype=np.int64)
-        members = np.flatnonzero(cell.member)
-        return _lists(cell, *scan(cell.x, np.flatnonzero(cell.asks), members, tie, keep, floor), keep)
-
-    found = routed.groupBy("cell").applyInArrow(run, FOUND)
+def scan_block(cell: ce.Cell, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and cosine of the ``k`` best ids of each asking row of a block, itself among them."""
+    own = np.arange(len(cell.x))
+    least = np.full(len(own), np.iinfo(np.int64).max)
+    np.minimum.at(least, *cell.ids)
+    row, other, cos = scan(cell.x, np.flatnonzero(cell.asks), np.flatnonzero(cell.member), least, k, floor)
+    return _best_ids(cell.ids, np.r_[row, own], np.r_[other, own], np.r_[cos, np.ones(len(own))], k)
+
+
+def _merged(found: DataFrame, keep: int, k: int, queries: Callable[[Column], Column] | None) -> DataFrame:
+    """The ``k`` best of each id, from the lists and copies of FOUND; ``keep`` holds the id itself as well."""
     lists = found.groupBy("rep").agg(F.collect_list(F.arrays_zip("far", "near")).alias("lists"), F.collect_set("copy").alias("copies"))
     best = lists.select(F.explode(F.array_union(F.array("rep"), "copies")).alias("id"), F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, keep).alias("best"))
     if queries:
@@ -161,6 +180,150 @@ def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: fl
     return others.select("id", F.posexplode("best").alias("place", "x")).select("id", F.col("x.near").alias("near_id"), (F.col("place") + 1).alias("place"), (1 - F.col("x.far") / SCALE).alias("cosine"))
 
 
+def _columns(n: int, **columns) -> pa.Table:
+    names = {"rep": pa.int64(), "far": pa.list_(pa.int32()), "near": pa.list_(pa.int64()), "copy": pa.int64(), "leaf": pa.int64(), "vecs": pa.binary(), "names": pa.binary(), "cell": pa.int64(), "slice": pa.int32(), "member": pa.bool_(), "own": pa.int64(), "pack": pa.binary()}
+    return pa.table({c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in names.items()}, schema=pa.schema(list(names.items())))
+
+
+def _named(leaf: np.ndarray, ids: tuple[np.ndarray, np.ndarray], reps: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """The names of each leaf's rows, rows in order of leaf."""
+    order = np.argsort(leaf, kind="stable")
+    place = np.empty(len(leaf), np.int64)
+    place[order] = np.arange(len(leaf))
+    sizes = np.cumsum(np.bincount(leaf))
+    parts = []
+    for row, value in (ids, reps):
+        by = np.argsort(place[row], kind="stable")
+        count = np.bincount(row, minlength=len(leaf))[order]
+        parts.append((np.split(count, sizes[:-1]), np.split(value[by], np.cumsum(np.add.reduceat(count, np.r_[0, sizes[:-1]]))[:-1])))
+    return [np.concatenate([a, b, c, d]).astype("<i8").tobytes() for a, b, c, d in zip(parts[0][0], parts[1][0], parts[0][1], parts[1][1], strict=True)]
+
+
+def _names(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and id of the ids, and of the representatives, of a leaf of ``rows`` vectors."""
+    v = np.frombuffer(raw, "<i8")
+    a, b = v[:rows], v[rows : 2 * rows]
+    return np.repeat(np.arange(rows), a), v[2 * rows : 2 * rows + a.sum()], np.repeat(np.arange(rows), b), v[2 * rows + a.sum() :]
+
+
+def scan_pairs(x: np.ndarray, p: np.ndarray, q: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows of at least ``floor``, with their rounded cosines; the scan of ``scan`` over single pairs."""
+    dim, bound = x.shape[1], 2 - 2 * floor + 2e-6
+    whole = (x @ rotation(dim)).astype(np.float32)
+    gone = np.zeros(len(p), np.float32)
+    for d in range(0, dim, BLOCK):
+        gone = gone + ((whole[p, d : d + BLOCK] - whole[q, d : d + BLOCK]) ** 2).sum(axis=1)
+        on = gone <= bound * allowance(min(d + BLOCK, dim), dim) + 2e-5
+        p, q, gone = p[on], q[on], gone[on]
+    cos = np.round(np.einsum("ij,ij->i", x[p], x[q]), 9)
+    on = cos >= floor
+    return p[on], q[on], cos[on]
+
+
+def _scan_leaves(batches, keep: int, floor: float, dim: int):
+    """FOUND rows of the vectors of two leaves against each other."""
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("one_vecs", "two_vecs", "one_names", "two_names")]
+        start = 0
+        while start < len(columns[0]):
+            raw, ids, reps, p, q, n, pairs = [], ([], []), ([], []), [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
+            found = []
+            while start < len(columns[0]) and pairs < 1_000_000:
+                v1, v2, n1, n2 = (c[start] for c in columns)
+                m1, m2 = len(v1) // (4 * dim), len(v2) // (4 * dim)
+                for at, names in ((n, _names(n1, m1)), (n + m1, _names(n2, m2))):
+                    ids[0].append(names[0] + at)
+                    ids[1].append(names[1])
+                    reps[0].append(names[2] + at)
+                    reps[1].append(names[3])
+                raw += [v1, v2]
+                if m1 * m2 <= 1_000_000:
+                    p.append(n + np.repeat(np.arange(m1), m2))
+                    q.append(n + m1 + np.tile(np.arange(m2), m1))
+                else:
+                    found.append((n, n + m1, n + m1 + m2))
+                n, pairs, start = n + m1 + m2, pairs + m1 * m2, start + 1
+            x = ce.unit(np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim))
+            own_ids, own_reps = (tuple(map(np.concatenate, v)) for v in (ids, reps))
+            least = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(least, *own_ids)
+            a, b, cos = scan_pairs(x, np.concatenate(p), np.concatenate(q), floor)
+            hits = [(a, b, cos), (b, a, cos)] + [scan(x, np.arange(s, m), np.arange(m, e), least, keep, floor) for s, m, e in found]
+            row, other, cos = map(np.concatenate, zip(*hits, strict=True))
+            if len(row):
+                lists = _lists(own_reps, *_best_ids(own_ids, row, other, cos, keep))
+                yield from _columns(len(lists["rep"]), **lists).select(["rep", "far", "near", "copy"]).combine_chunks().to_batches()
+
+
+def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float, cells: ce.Cells) -> DataFrame:
+    """FOUND rows over the whole table."""
+    keep = k + 1  # a row is among its own neighbours until the end
+    many = len(cells.centres) > 1 or cells.blocks[0] > 1
+
+    def run(key, t):
+        if key[0].as_py() < 0:
+            rep, copy = ce.copies_of(t)
+            return _columns(len(rep), rep=rep, copy=copy)
+        at, block = key[0].as_py(), key[1].as_py()
+        cell = ce.read_cell(t, keep, cells.dim)
+        row, near, cos = scan_block(cell, keep, floor)
+        some = np.bincount(row, minlength=len(cell.x))[row] > 1
+        lists = _lists(cell.reps, row[some], near[some], cos[some])
+        out = [_columns(len(lists["rep"]), **lists)]
+        if many:
+            count, last = np.bincount(row, minlength=len(cell.x)), np.r_[row[1:] != row[:-1], True]
+            need = np.full(len(cell.x), floor)
+            need[row[last & (count[row] >= keep)]] = cos[last & (count[row] >= keep)]
+            leaf, centre, _ = lv.compact(cell.x, floor)
+            least = np.full(len(centre), 1.0)
+            np.minimum.at(least, leaf, need - 1e-6)
+            order = np.argsort(leaf, kind="stable")
+            raw = [r.tobytes() for r in np.split(cell.raw[order], np.cumsum(np.bincount(leaf))[:-1])]
+            own = lv.own_number(at, block) << lv.LEAF_BITS
+            out.append(_columns(len(raw), leaf=pa.array(own + np.arange(len(raw))), vecs=pa.array(raw, pa.binary()), names=pa.array(_named(leaf, cell.ids, cell.reps), pa.binary())))
+            sent = lv.visits(cell.x, leaf, lv.packed(cell.x, leaf, centre, np.arange(len(centre)), least), at, block, cells)
+            out.append(_columns(len(sent["cell"]), **sent))
+        return pa.concat_tables(out)
+
+    grown = ce.route(df, record_id, vector, cells, keep).groupBy("cell", "block").applyInArrow(run, ROWS)
+    if not many:
+        return grown.where("rep is not null").select("rep", "far", "near", "copy")
+    grown = cut_lineage(grown)
+    sent = grown.where("pack is not null").select("cell", "slice", "member", "own", "pack")
+    pairs = sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), "a bigint, b bigint").distinct()
+    full = lv.with_vectors(pairs, grown.where("vecs is not null").select("leaf", "vecs", "names"), "vecs", "names")
+    scanned = full.select("one_vecs", "two_vecs", "one_names", "two_names").mapInArrow(lambda b: _scan_leaves(b, keep, floor, cells.dim), FOUND)
+    return grown.where("rep is not null").select("rep", "far", "near", "copy").union(scanned)
+
+
+def _by_probes(df: DataFrame, record_id: str, vector: str, k: int, floor: float, queries: Callable[[Column], Column] | None, cells: ce.Cells) -> DataFrame:
+    """FOUND rows of the queries, which go to the lists themselves."""
+    keep = k + 1
+    asks = F.lit(True) if queries is None else queries(F.col(record_id))
+
+    def run(key, t):
+        if key[0].as_py() < 0:
+            rep, copy = ce.copies_of(t)
+            return _columns(len(rep), rep=rep, copy=copy).select(["rep", "far", "near", "copy"])
+        cell = ce.read_cell(t, keep, cells.dim)
+        row, near, cos = scan_block(cell, keep, floor)
+        some = (np.bincount(row, minlength=len(cell.x))[row] > 1) & cell.asks[row]
+        lists = _lists(cell.reps, row[some], near[some], cos[some])
+        return _columns(len(lists["rep"]), **lists).select(["rep", "far", "near", "copy"])
+
+    return ce.route(df, record_id, vector, cells, keep, asks).groupBy("cell", "block").applyInArrow(run, FOUND)
+
+
+def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: float = -1.0, queries: Callable[[Column], Column] | None = None, cells: ce.Cells | None = None, **fitted) -> DataFrame:
+    """id, near_id, place, cosine: the ``k`` most similar vectors of each, of at least ``floor``.
+
+    With ``queries``, a condition on the id, only those rows are queries, against all. ``fitted``: arguments of ``cells.fit``.
+    """
+    cells = cells or ce.fit(df, record_id, vector, floor=floor if queries is None else -1.0, k=k, **fitted)
+    found = _by_leaves(df, record_id, vector, k, floor, cells) if floor > -1 and queries is None else _by_probes(df, record_id, vector, k, floor, queries, cells)
+    return _merged(found, k + 1, k, queries)
+
+
 def similar_pairs(near: DataFrame) -> DataFrame:
     """photo_id_a < photo_id_b of which one is among the neighbours of the other, once."""
     return near.select(F.least("id", "near_id").alias("photo_id_a"), F.greatest("id", "near_id").alias("photo_id_b")).distinct()

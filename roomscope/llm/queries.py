@@ -24,7 +24,20 @@ def p3_clusters(spark: SparkSession, root: str) -> DataFrame:
     photos = table(spark, root, "job_photos")
     found = cut_lineage(clusters.members(photos, "id", "embedding", LINK))
     told = clusters.describe(photos, "id", "embedding", "room_cluster_id", found)
-    return told.select(F.col("first_id").alias("first_photo_id"), "size", F.col("typical_ids").alias("typical_photo_ids"), F.col("groups").alias("room_cluster_ids"))
+    return told.select(F.col("first_id").alias("first_photo_id"), "size", F.col("typical_ids").alias("typical_photo_ids"), F.col("groups").alias("room_clusters"))
+
+
+def p3_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """The room_cluster_ids under which the photos of each cluster are recorded, and how many photos are under each."""
+    photos = table(spark, root, "job_photos")
+    rooms = clusters.recorded(photos, "id", "room_cluster_id", clusters.members(photos, "id", "embedding", LINK))
+    return rooms.select(F.col("first_id").alias("first_photo_id"), F.col("grp").alias("room_cluster_id"), F.col("rows").alias("photos"))
+
+
+def p3_leaves(spark: SparkSession, root: str) -> DataFrame:
+    """The leaves of the tree: groups of which any two photos are linked, with size and the photos nearest to the centre."""
+    found = clusters.leaf_sizes(table(spark, root, "job_photos"), "id", "embedding", LINK)
+    return found.select(F.col("leaf").alias("leaf_id"), "size", F.col("typical_ids").alias("typical_photo_ids"))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -87,7 +100,7 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.rates(_scored(spark, root), "source")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_rooms": p3_rooms, "p3_leaves": p3_leaves, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _P4 = """SELECT room_cluster_id, id AS photo_id, final_score, row_number() OVER (PARTITION BY room_cluster_id ORDER BY final_score DESC, id) AS place
   FROM (SELECT DISTINCT id, room_cluster_id, final_score FROM job_photos WHERE room_cluster_id IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score))"""
 SQL = {

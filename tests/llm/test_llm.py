@@ -108,13 +108,13 @@ def test_neighbours_against_brute_force(spark, cell_rows):
     s = cosines(x)
     np.fill_diagonal(s, -9)
     best = {i: [(s[i, j], j) for j in sorted(range(len(x)), key=lambda j: (-s[i, j], j))[:5]] for i in range(len(x))}
-    near = neighbours.neighbours(df, "id", "v", 5, 0.85, cell_rows=cell_rows, copies=5)
+    near = neighbours.neighbours(df, "id", "v", 5, 0.85, cell_rows=cell_rows)
     got = {(r.id, r.place): r.near_id for r in near.collect()}
     want = {(i, k + 1): j for i, b in best.items() for k, (c, j) in enumerate(b) if c >= 0.85}
     assert sum(got.get(k) == j for k, j in want.items()) >= 0.99 * len(want)
     if cell_rows == 10_000:
         assert got == want
-    near = neighbours.neighbours(df, "id", "v", 5, queries=lambda c: F.pmod(c, F.lit(10)) == 0, cell_rows=cell_rows, copies=5).collect()
+    near = neighbours.neighbours(df, "id", "v", 5, queries=lambda c: F.pmod(c, F.lit(10)) == 0, cell_rows=cell_rows).collect()
     assert {r.id for r in near} == set(range(0, 500, 10))
     hit = sum(r.near_id in {j for _, j in best[r.id]} for r in near)
     assert hit >= (0.9 if cell_rows == 60 else 1.0) * 5 * 50
@@ -136,7 +136,7 @@ def test_clusters_against_brute_force(spark, cell_rows):
         parent[max(find(a), find(b))] = min(find(a), find(b))
     root = [find(i) for i in range(len(x))]
     want = {i: (r, root.count(r)) for i, r in enumerate(root) if root.count(r) > 1}
-    got = {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cell_rows=cell_rows, copies=5).collect()}
+    got = {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cell_rows=cell_rows).collect()}
     assert got == want
     assert clusters.members(df.limit(0), "id", "v", 0.85).count() == 0
 
