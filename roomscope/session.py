@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,7 +37,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "roomscope-checkpoint")
+        named = tempfile.mkdtemp(prefix="roomscope-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
 
 
@@ -45,6 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, where each later use reads only the columns it needs. It stays as long as that folder's other files."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the session's Python workers, once, through the driver's file server; they need no path of their own."""
     sc, folder = spark.sparkContext, Path(__file__).resolve().parent
