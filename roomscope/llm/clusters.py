@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import cells as ce
 from . import leaves as lv
 
@@ -113,7 +113,7 @@ def grown(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Ce
             out.append(table(len(sent["cell"]), **sent))
         return pa.concat_tables(out)
 
-    return cut_lineage(ce.route(df, record_id, vector, cells, 1).groupBy("cell", "block").applyInArrow(run, ROWS))
+    return stored(ce.route(df, record_id, vector, cells, 1).groupBy("cell", "block").applyInArrow(run, ROWS))
 
 
 def _edges(found: DataFrame, least: float, cells: ce.Cells) -> DataFrame:

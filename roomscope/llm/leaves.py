@@ -27,8 +27,8 @@ VISIT = "cell bigint, slice int, member boolean, own bigint, pack binary"
 
 
 def record(dim: int) -> np.dtype:
-    """A packed leaf: its number, the least of the leaves it is linked with in its block, the factor of its centre's bytes, radius, least cosine of use to it."""
-    return np.dtype([("leaf", "<u4"), ("part", "<u4"), ("scale", "<f4"), ("radius", "<f4"), ("need", "<f4"), ("centre", "i1", (dim,))])
+    """A packed leaf: its number, the least of the leaves it is linked with in its block, radius, least cosine of use to it, and its centre's direction in bytes."""
+    return np.dtype([("leaf", "<u4"), ("part", "<u4"), ("radius", "<f2"), ("need", "<f2"), ("centre", "i1", (dim,))])
 
 
 def own_number(cell: int, block: int) -> int:
@@ -139,11 +139,11 @@ def packed(x: np.ndarray, leaf: np.ndarray, centre: np.ndarray, part: np.ndarray
     """The record of each leaf; its radius is around the centre as the record has it."""
     out = np.zeros(len(centre), record(x.shape[1]))
     scale = np.abs(centre).max(axis=1) / 127 if len(centre) else np.empty(0)
-    out["leaf"], out["part"], out["scale"], out["need"] = np.arange(len(centre)), part, scale, need
+    out["leaf"], out["part"], out["need"] = np.arange(len(centre)), part, need - 1e-3  # halves of so many bits round up by less
     out["centre"] = np.round(centre / scale[:, None])
     radius = np.zeros(len(centre))
     np.maximum.at(radius, leaf, angle_of(x, centres_of(out)[leaf]))
-    out["radius"] = radius + 1e-6
+    out["radius"] = radius * 1.001 + 1e-6
     return out
 
 
@@ -240,7 +240,7 @@ def useful(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
 
     def emit(a, b, oa, ob, i, j, apart, both):
         best = np.cos(np.maximum(apart - both - 1e-6, 0)) + 1e-6
-        on = best >= np.minimum(a["need"][i], b["need"][j])
+        on = best >= np.minimum(a["need"][i], b["need"][j]).astype(np.float64)
         one, two = number(oa[i[on]], a["leaf"][i[on]]), number(ob[j[on]], b["leaf"][j[on]])
         found.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
 

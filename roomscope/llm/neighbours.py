@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import stored
 from . import cells as ce
 from . import leaves as lv
 
@@ -288,7 +288,7 @@ def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
     grown = ce.route(df, record_id, vector, cells, keep).groupBy("cell", "block").applyInArrow(run, ROWS)
     if not many:
         return grown.where("rep is not null").select("rep", "far", "near", "copy")
-    grown = cut_lineage(grown)
+    grown = stored(grown)
     sent = grown.where("pack is not null").select("cell", "slice", "member", "own", "pack")
     pairs = sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), "a bigint, b bigint").distinct()
     full = lv.with_vectors(pairs, grown.where("vecs is not null").select("leaf", "vecs", "names"), "vecs", "names")
