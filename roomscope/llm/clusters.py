@@ -119,18 +119,29 @@ def grown(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Ce
 def _edges(found: DataFrame, least: float, cells: ce.Cells) -> DataFrame:
     """u, v: linked parts of different blocks."""
 
+    def near(batches):
+        for batch in batches:
+            out = []
+            for raw, centre, radius in zip(*(batch[c].to_pylist() for c in ("vecs", "centre", "radius")), strict=True):
+                x = np.frombuffer(raw, np.float32).reshape(-1, cells.dim)
+                out.append(x[lv.facing(x, centre, radius, least)].tobytes() or None)
+            made = pa.array(out, pa.binary())
+            yield pa.record_batch([batch["u"], batch["v"], batch["b"], made], names=["u", "v", "leaf", "near"]).filter(made.is_valid())
+
     def compare(batches):
         for batch in batches:
             good = []
-            for one, two in zip(batch["one_vecs"].to_pylist(), batch["two_vecs"].to_pylist(), strict=True):
+            for one, two in zip(batch["near"].to_pylist(), batch["vecs"].to_pylist(), strict=True):
                 x, y = (ce.unit(np.frombuffer(raw, np.float32).reshape(-1, cells.dim)) for raw in (one, two))
                 good.append(any((np.round(np.einsum("ij,kj->ik", x[s : s + 1024], y), 9) >= least).any() for s in range(0, len(x), 1024)))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     sent = found.where("pack is not null").select("cell", "slice", "member", "own", "pack")
-    drawn = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.sure_and_open(t, least, cells), "u bigint, v bigint, a bigint, b bigint"))
+    drawn = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.sure_and_open(t, least, cells), f"u bigint, v bigint, {lv.FACING}"))
     open_ = drawn.where("a is not null").dropDuplicates(["a", "b"])
-    exact = lv.with_vectors(open_, found.where("vecs is not null").select("leaf", "vecs"), "vecs").select("u", "v", "one_vecs", "two_vecs").mapInArrow(compare, "u bigint, v bigint")
+    kept = lv.needed(found.where("vecs is not null").select("leaf", "vecs"), open_)
+    sides = open_.withColumnRenamed("a", "leaf").join(kept, "leaf").select("u", "v", "b", "vecs", "centre", "radius").mapInArrow(near, "u bigint, v bigint, leaf bigint, near binary")
+    exact = sides.join(kept, "leaf").select("u", "v", "near", "vecs").mapInArrow(compare, "u bigint, v bigint")
     return drawn.where("a is null").select("u", "v").union(exact)
 
 

@@ -22,6 +22,10 @@ from . import cells as ce
 LEAF_BITS, BLOCK_BITS = 24, 16
 #: Rounds of putting leaves together.
 MERGES = 6
+#: Bits that mark leaves whose vectors are needed.
+BITS = 1 << 26
+#: A pair of leaves to be compared, with the centre and radius of the second.
+FACING = "a bigint, b bigint, radius float, centre binary"
 #: A visit: the cell, the slice of its visitors, whether leaf of the cell itself, the block that the leaves are of, and the leaves.
 VISIT = "cell bigint, slice int, member boolean, own bigint, pack binary"
 
@@ -89,34 +93,45 @@ def sums_of(x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
 
 def put_together(x: np.ndarray, leaf: np.ndarray, limit: float) -> np.ndarray:
     """Leaves that are nearest to each other become one if it is compact, a few times over."""
+    sums = sums_of(x, leaf)
+    m = len(sums)
+    label = np.arange(m)  # the leaf that each became
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    low, found, step = unit(sums).astype(np.float32), [np.empty((2, 0), np.int64)], max(1, 16_000_000 // max(1, m))
+    for s in range(0, m, step):
+        i, j = np.divmod(np.flatnonzero((low[s : s + step] @ low[s:].T > 2 * limit * limit - 1).ravel()), m - s)
+        found.append(np.stack([i, j])[:, i < j] + s)
+    pairs = np.concatenate(found, axis=1)
     for _ in range(MERGES):
-        sums = sums_of(x, leaf)
-        m = len(sums)
-        if m < 2:
+        if not pairs.shape[1]:
             break
-        centre = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        near, close, step = np.empty(m, np.int64), np.empty(m, np.float32), max(1, 16_000_000 // m)
-        for s in range(0, m, step):
-            g = centre[s : s + step] @ centre.T
-            g[np.arange(len(g)), s + np.arange(len(g))] = -2
-            near[s : s + step] = g.argmax(axis=1)
-            close[s : s + step] = g.max(axis=1)
-        a = np.flatnonzero((near[near] == np.arange(m)) & (np.arange(m) < near) & (close > 2 * limit * limit - 1))
+        centre = unit(sums)
+        close = np.einsum("ij,ij->i", centre[pairs[0]], centre[pairs[1]])
+        one, two = np.concatenate([pairs, pairs[::-1]], axis=1)
+        order = np.lexsort((two, -np.r_[close, close], one))
+        first = order[np.r_[True, one[order][1:] != one[order][:-1]]]
+        near = np.full(m, -1)
+        near[one[first]] = two[first]
+        a = np.flatnonzero((near > np.arange(m)) & (near[near] == np.arange(m)))
         new = np.arange(m)
         new[near[a]] = a
-        label = new[leaf]
         both = sums.copy()
         both[a] += sums[near[a]]
-        both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
+        at = new[label][leaf]
         least = np.full(m, 2.0)
-        np.minimum.at(least, label, np.einsum("ij,ij->i", x, both[label]))
-        good = a[least[a] >= limit]
-        if not len(good):
-            break
+        np.minimum.at(least, at, np.einsum("ij,ij->i", x, unit(both)[at]))
+        good = least[a] >= limit
+        lost = np.zeros(m, bool)  # pairs that failed stay apart
+        lost[a[~good]] = True
+        a = a[good]
         new = np.arange(m)
-        new[near[good]] = good
-        leaf = np.unique(new[leaf], return_inverse=True)[1].ravel()
-    return leaf
+        new[near[a]] = a
+        label = new[label]
+        sums[a] += sums[near[a]]
+        failed = lost[pairs[0]] & (near[pairs[0]] == pairs[1])
+        pairs = np.sort(new[pairs[:, ~failed]], axis=0)
+        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+    return np.unique(label[leaf], return_inverse=True)[1].ravel()
 
 
 def angle_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,46 +225,82 @@ def number(own: np.ndarray, local: np.ndarray) -> np.ndarray:
     return (own << LEAF_BITS) + local.astype(np.int64)
 
 
+def _facing(a, b, oa, ob, i, j) -> dict[str, np.ndarray]:
+    """Pairs of leaves, the one of larger radius as ``a``, with the centre and radius of the other: the vectors of ``a`` too far from it needn't be sent."""
+    one, two = number(oa[i], a["leaf"][i]), number(ob[j], b["leaf"][j])
+    ra, rb = a["radius"][i], b["radius"][j]
+    turn = (rb > ra) | ((rb == ra) & (two > one))
+    centre = np.where(turn[:, None], a["centre"][i], b["centre"][j])
+    return {"a": np.where(turn, two, one), "b": np.where(turn, one, two), "radius": np.where(turn, ra, rb).astype(np.float32), "centre": centre}
+
+
+def _tabled(found: list[dict[str, np.ndarray]], dim: int, **ends: np.ndarray) -> pa.Table:
+    empty = {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "radius": np.empty(0, np.float32), "centre": np.empty((0, dim), np.int8)}
+    whole = {k: np.concatenate([v, *(f[k] for f in found)]) for k, v in empty.items()}
+    return pa.table({k: pa.array(v) for k, v in ends.items()} | {k: ce.blobs(v) if k == "centre" else pa.array(v) for k, v in whole.items()})
+
+
 def sure_and_open(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
-    """u, v, a, b: linked parts u and v, as a forest, with null leaves; and leaves a, b of parts not linked so, that must be compared."""
+    """u, v and FACING: linked parts u and v, as a forest, with null leaves; and leaves of parts not linked so, that must be compared."""
     angle = float(np.arccos(least))
-    sure: list[np.ndarray] = []
-    open_: list[np.ndarray] = []
+    sure: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+    open_: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+    pairs: list[dict[str, np.ndarray]] = []
 
     def emit(a, b, oa, ob, i, j, apart, both):
         certain = apart + both <= angle - 1e-6
-        u, v = number(oa[i], a["part"][i]), number(ob[j], b["part"][j])
-        sure.append(np.unique(np.stack([u[certain], v[certain]]), axis=1))
-        open_.append(np.stack([u, v, number(oa[i], a["leaf"][i]), number(ob[j], b["leaf"][j])])[:, ~certain])
+        ends = np.stack([number(oa[i], a["part"][i]), number(ob[j], b["part"][j])])
+        sure.append(np.unique(ends[:, certain], axis=1))
+        open_.append(ends[:, ~certain])
+        pairs.append(_facing(a, b, oa, ob, i[~certain], j[~certain]))
 
     meet(t, least, cells, emit)
-    sure_, rest = (np.concatenate(c, axis=1) if c else np.empty((k, 0), np.int64) for c, k in ((sure, 2), (open_, 4)))
-    names, at = np.unique(np.r_[sure_.ravel(), rest[:2].ravel()], return_inverse=True)
-    u, v = at[: sure_.size].reshape(2, -1)
-    parent = roots(np.arange(len(names)), u, v)
+    sure_, rest = (np.concatenate(c, axis=1) for c in (sure, open_))
+    names, at = np.unique(np.r_[sure_.ravel(), rest.ravel()], return_inverse=True)
+    parent = roots(np.arange(len(names)), *at[: sure_.size].reshape(2, -1))
     linked = np.flatnonzero(parent != np.arange(len(names)))
     x, y = at[sure_.size :].reshape(2, -1)
-    rest = rest[:, parent[x] != parent[y]]
-    none = pa.nulls(len(linked), pa.int64())
-    return pa.table({k: pa.concat_arrays([pa.array(one), pa.array(two)]) for k, one, two in (("u", names[parent[linked]], rest[0]), ("v", names[linked], rest[1]))} | {k: pa.concat_arrays([none, pa.array(two)]) for k, two in (("a", np.minimum(rest[2], rest[3])), ("b", np.maximum(rest[2], rest[3])))})
+    on, done = parent[x] != parent[y], 0
+    for f in pairs:
+        n = len(f["a"])
+        f.update({k: v[on[done : done + n]] for k, v in f.items()})
+        done += n
+    left = _tabled(pairs, cells.dim, u=rest[0][on], v=rest[1][on])
+    forest = pa.table({"u": names[parent[linked]], "v": names[linked]} | {k: pa.nulls(len(linked), left.schema.field(k).type) for k in ("a", "b", "radius", "centre")})
+    return pa.concat_tables([forest, left])
 
 
 def useful(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
-    """a, b: leaves of which one may hold a vector that a vector of the other has use for."""
-    found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+    """FACING: leaves of which one may hold a vector that a vector of the other has use for."""
+    found: list[dict[str, np.ndarray]] = []
 
     def emit(a, b, oa, ob, i, j, apart, both):
-        best = np.cos(np.maximum(apart - both - 1e-6, 0)) + 1e-6
-        on = best >= np.minimum(a["need"][i], b["need"][j]).astype(np.float64)
-        one, two = number(oa[i[on]], a["leaf"][i[on]]), number(ob[j[on]], b["leaf"][j[on]])
-        found.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
+        on = np.cos(np.maximum(apart - both - 1e-6, 0)) + 1e-6 >= np.minimum(a["need"][i], b["need"][j]).astype(np.float64)
+        found.append(_facing(a, b, oa, ob, i[on], j[on]))
 
     meet(t, least, cells, emit)
-    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.table({"a": a, "b": b})
+    return _tabled(found, cells.dim)
+
+
+def facing(raw: np.ndarray, centre: bytes, radius: float, least: float) -> np.ndarray:
+    """The rows that may have a cosine of ``least`` with a vector of the leaf of that centre and radius."""
+    c = np.frombuffer(centre, np.int8).astype(np.float64)
+    c /= max(np.linalg.norm(c), 1e-12)
+    return np.flatnonzero(angle_of(ce.unit(raw), c[None]) <= np.arccos(least) + radius + 1e-6)
+
+
+def needed(kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those leaves of ``kept`` that ``pairs`` names, and few others: a bitmap of at most BITS bits drops most of the rest before the shuffle."""
+    bit = F.pmod(F.xxhash64("leaf"), F.lit(BITS))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("leaf")).select(bit.alias("bit"))
+    marks = named.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # bounded by BITS
+    bits = {r["bucket"]: bytes(r["bits"]) for r in marks}
+    none = bytes(1 << 12)
 
+    def run(batches):
+        for batch in batches:
+            on = [bits.get(b, none)[p >> 3] >> (p & 7) & 1 == 1 for b, p in zip(batch["bucket"].to_pylist(), batch["place"].to_pylist(), strict=True)]
+            yield batch.drop_columns(["bucket", "place"]).filter(pa.array(on, pa.bool_()))
 
-def with_vectors(pairs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
-    """Pairs of leaves a, b with the columns of both, one_* and two_*, from ``kept`` (leaf and the columns)."""
-    side = lambda leaf, name: kept.select(F.col("leaf").alias(leaf), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    return pairs.join(side("a", "one"), "a").join(side("b", "two"), "b")
+    asked = kept.withColumn("bit", bit).select(*kept.columns, F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("place"))
+    return asked.mapInArrow(run, kept.schema)

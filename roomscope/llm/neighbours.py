@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import cut_lineage, stored
 from . import cells as ce
 from . import leaves as lv
 
@@ -206,6 +206,23 @@ def _names(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.repeat(np.arange(rows), a), v[2 * rows : 2 * rows + a.sum()], np.repeat(np.arange(rows), b), v[2 * rows + a.sum() :]
 
 
+def _facing(batches, floor: float, dim: int):
+    """The vectors of the first leaf of each pair, with their names, that may reach the floor with one of the other."""
+    for batch in batches:
+        vecs, names = [], []
+        for raw, own, centre, radius in zip(*(batch[c].to_pylist() for c in ("vecs", "names", "centre", "radius")), strict=True):
+            x = np.frombuffer(raw, np.float32).reshape(-1, dim)
+            on = lv.facing(x, centre, radius, floor)
+            i, ids, r, reps = _names(own, len(x))
+            new = np.full(len(x), -1)
+            new[on] = np.arange(len(on))
+            a, b = new[i] >= 0, new[r] >= 0
+            vecs.append(x[on].tobytes() or None)
+            names.append(_named(np.zeros(len(on), np.int64), (new[i][a], ids[a]), (new[r][b], reps[b]))[0] if len(on) else None)
+        made = pa.array(vecs, pa.binary())
+        yield pa.record_batch([batch["b"], made, pa.array(names, pa.binary())], names=["leaf", "near_vecs", "near_names"]).filter(made.is_valid())
+
+
 def scan_pairs(x: np.ndarray, p: np.ndarray, q: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of rows of at least ``floor``, with their rounded cosines; the scan of ``scan`` over single pairs."""
     dim, bound = x.shape[1], 2 - 2 * floor + 2e-6
@@ -223,7 +240,7 @@ def scan_pairs(x: np.ndarray, p: np.ndarray, q: np.ndarray, floor: float) -> tup
 def _scan_leaves(batches, keep: int, floor: float, dim: int):
     """FOUND rows of the vectors of two leaves against each other."""
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("one_vecs", "two_vecs", "one_names", "two_names")]
+        columns = [batch[c].to_pylist() for c in ("near_vecs", "vecs", "near_names", "names")]
         start = 0
         while start < len(columns[0]):
             raw, ids, reps, p, q, n, pairs = [], ([], []), ([], []), [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
@@ -290,9 +307,10 @@ def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
         return grown.where("rep is not null").select("rep", "far", "near", "copy")
     grown = stored(grown)
     sent = grown.where("pack is not null").select("cell", "slice", "member", "own", "pack")
-    pairs = sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), "a bigint, b bigint").distinct()
-    full = lv.with_vectors(pairs, grown.where("vecs is not null").select("leaf", "vecs", "names"), "vecs", "names")
-    scanned = full.select("one_vecs", "two_vecs", "one_names", "two_names").mapInArrow(lambda b: _scan_leaves(b, keep, floor, cells.dim), FOUND)
+    pairs = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), lv.FACING)).dropDuplicates(["a", "b"])
+    kept = lv.needed(grown.where("vecs is not null").select("leaf", "vecs", "names"), pairs)
+    sides = pairs.withColumnRenamed("a", "leaf").join(kept, "leaf").select("b", "vecs", "names", "centre", "radius").mapInArrow(lambda t: _facing(t, floor, cells.dim), "leaf bigint, near_vecs binary, near_names binary")
+    scanned = sides.join(kept, "leaf").select("near_vecs", "vecs", "near_names", "names").mapInArrow(lambda b: _scan_leaves(b, keep, floor, cells.dim), FOUND)
     return grown.where("rep is not null").select("rep", "far", "near", "copy").union(scanned)
 
 
