@@ -70,7 +70,7 @@ def _linked(x: np.ndarray, least: float, leaf: np.ndarray, centre: np.ndarray, r
     held: list[tuple[np.ndarray, ...]] = []
     for s in range(0, len(start), 2048):
         reach = np.cos(np.minimum(angle + radius[s : s + 2048] + widest, np.pi)) - 1e-5
-        i, j = np.nonzero(low[s : s + 2048] @ low[s:].T >= reach[:, None].astype(np.float32))
+        i, j = np.divmod(np.flatnonzero((low[s : s + 2048] @ low[s:].T >= reach[:, None].astype(np.float32)).ravel()), len(start) - s)
         i, j = (i + s)[i < j], (j + s)[i < j]
         apart = lv.angle_of(centre[i], centre[j])
         sure = apart + radius[i] + radius[j] <= angle - 1e-6

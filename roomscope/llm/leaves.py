@@ -31,8 +31,26 @@ VISIT = "cell bigint, slice int, member boolean, own bigint, pack binary"
 
 
 def record(dim: int) -> np.dtype:
-    """A packed leaf: its number, the least of the leaves it is linked with in its block, radius, least cosine of use to it, and its centre's direction in bytes."""
-    return np.dtype([("leaf", "<u4"), ("part", "<u4"), ("radius", "<f2"), ("need", "<f2"), ("centre", "i1", (dim,))])
+    """A packed leaf: its number, the least of the leaves it is linked with in its block, radius, least cosine of use to it, and its centre's direction."""
+    return np.dtype([("leaf", "<u4"), ("part", "<u4"), ("radius", "<f2"), ("need", "<f2"), ("centre", "u1", (-(-dim // 4) * 3,))])
+
+
+def six_bits(centre: np.ndarray) -> np.ndarray:
+    """Each element in six bits, four of them in three bytes; the largest of a row is 31."""
+    n, dim = centre.shape
+    v = np.full((n, -(-dim // 4) * 4), 32, np.uint32)
+    v[:, :dim] = np.round(centre / np.maximum(np.abs(centre).max(axis=1, keepdims=True), 1e-12) * 31) + 32
+    four = v.reshape(n, -1, 4)
+    word = four[:, :, 0] | four[:, :, 1] << 6 | four[:, :, 2] << 12 | four[:, :, 3] << 18
+    return np.stack([word & 255, word >> 8 & 255, word >> 16], axis=2).astype(np.uint8).reshape(n, -1)
+
+
+def directions(raw: np.ndarray, dim: int) -> np.ndarray:
+    """The unit vectors of ``six_bits``."""
+    three = raw.reshape(len(raw), -1, 3).astype(np.uint32)
+    word = three[:, :, 0] | three[:, :, 1] << 8 | three[:, :, 2] << 16
+    c = (np.stack([word >> k & 63 for k in (0, 6, 12, 18)], axis=2).reshape(len(raw), -1)[:, :dim].astype(np.float64)) - 32
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
 def own_number(cell: int, block: int) -> int:
@@ -153,20 +171,14 @@ def compact(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.nda
 def packed(x: np.ndarray, leaf: np.ndarray, centre: np.ndarray, part: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The record of each leaf; its radius is around the centre as the record has it."""
     out = np.zeros(len(centre), record(x.shape[1]))
-    scale = np.abs(centre).max(axis=1) / 127 if len(centre) else np.empty(0)
     out["leaf"], out["part"], out["need"] = np.arange(len(centre)), part, need - 1e-3  # halves of so many bits round up by less
-    out["centre"] = np.round(centre / scale[:, None])
+    out["centre"] = six_bits(centre)
     radius = np.zeros(len(centre))
-    np.maximum.at(radius, leaf, angle_of(x, centres_of(out)[leaf]))
+    np.maximum.at(radius, leaf, angle_of(x, directions(out["centre"], x.shape[1])[leaf]))
     out["radius"] = radius * 1.001 + 1e-6
     return out
 
 
-def centres_of(pack: np.ndarray) -> np.ndarray:
-    c = pack["centre"].astype(np.float64)
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-
-
 def visits(x: np.ndarray, leaf: np.ndarray, pack: np.ndarray, cell: int, block: int, cells: ce.Cells) -> dict[str, pa.Array]:
     """The columns of VISIT: the leaves as members of their cell, in each slice, and as visitors of others."""
     own = own_number(cell, block)
@@ -191,7 +203,7 @@ def meet(t: pa.Table, least: float, cells: ce.Cells, emit: Callable) -> None:
     asked = np.flatnonzero(inside)
     asking, asked = (k[np.argsort(all_["radius"][k], kind="stable")] for k in (asking, asked))
     a, b, oa, ob = all_[asking], all_[asked], own[asking], own[asked]
-    ca, cb = centres_of(a), centres_of(b)
+    ca, cb = (directions(v["centre"], cells.dim) for v in (a, b))
     la, lb, ra, rb = ca.astype(np.float32), cb.astype(np.float32), a["radius"].astype(np.float64), b["radius"].astype(np.float64)
     angle = float(np.arccos(least))
     for s in range(0, len(a), 512):  # pieces that stay in the processor's cache
@@ -235,7 +247,7 @@ def _facing(a, b, oa, ob, i, j) -> dict[str, np.ndarray]:
 
 
 def _tabled(found: list[dict[str, np.ndarray]], dim: int, **ends: np.ndarray) -> pa.Table:
-    empty = {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "radius": np.empty(0, np.float32), "centre": np.empty((0, dim), np.int8)}
+    empty = {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "radius": np.empty(0, np.float32), "centre": np.empty((0, -(-dim // 4) * 3), np.uint8)}
     whole = {k: np.concatenate([v, *(f[k] for f in found)]) for k, v in empty.items()}
     return pa.table({k: pa.array(v) for k, v in ends.items()} | {k: ce.blobs(v) if k == "centre" else pa.array(v) for k, v in whole.items()})
 
@@ -284,9 +296,8 @@ def useful(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
 
 def facing(raw: np.ndarray, centre: bytes, radius: float, least: float) -> np.ndarray:
     """The rows that may have a cosine of ``least`` with a vector of the leaf of that centre and radius."""
-    c = np.frombuffer(centre, np.int8).astype(np.float64)
-    c /= max(np.linalg.norm(c), 1e-12)
-    return np.flatnonzero(angle_of(ce.unit(raw), c[None]) <= np.arccos(least) + radius + 1e-6)
+    c = directions(np.frombuffer(centre, np.uint8)[None], raw.shape[1])
+    return np.flatnonzero(angle_of(ce.unit(raw), c) <= np.arccos(least) + radius + 1e-6)
 
 
 def needed(kept: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from . import leaves as lv
 #: Columns of a block, after each of which a candidate is tested, and how many standard errors of chance it is given. Where over WASTE of the
 #: candidates of a first piece outlast the first block, the next one is joined to it.
 BLOCK, CHANCE, WASTE = 16, 3.0, 0.02
-QUERY_ROWS, LIST_ROWS = 4096, 2048
+QUERY_ROWS, LIST_ROWS = 1024, 2048
 SCALE = 1_000_000_000
 FOUND = "rep bigint, far array<int>, near array<bigint>, copy bigint"
 #: FOUND, or a leaf with its vectors and their names (numbers of ids and representatives of each, ids, representatives), or a visit of ``leaves``.
@@ -105,7 +105,7 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
                 else:
                     i, j = np.nonzero(close >= (1 - bound / 2 - 2e-5)[:, None])
             else:
-                i, j = np.nonzero(head @ targets[m].T <= (bound * give[0])[:, None])
+                i, j = np.divmod(np.flatnonzero((head @ targets[m].T <= (bound * give[0])[:, None]).ravel()), len(m))
                 gone = ((parts[0][q[i]] - parts[0][m[j]]) ** 2).sum(axis=1) if len(i) else np.empty(0, np.float32)
                 for part, share in zip(parts[1:], give[1:], strict=True):
                     gone = gone + ((part[q[i]] - part[m[j]]) ** 2).sum(axis=1)
@@ -169,15 +169,14 @@ def scan_block(cell: ce.Cell, k: int, floor: float) -> tuple[np.ndarray, np.ndar
     return _best_ids(cell.ids, np.r_[row, own], np.r_[other, own], np.r_[cos, np.ones(len(own))], k)
 
 
-def _merged(found: DataFrame, keep: int, k: int, queries: Callable[[Column], Column] | None) -> DataFrame:
-    """The ``k`` best of each id, from the lists and copies of FOUND; ``keep`` holds the id itself as well."""
+def _lists_of(found: DataFrame, keep: int) -> DataFrame:
+    """id, best: the ``keep`` best of each id, itself among them, from the lists and copies of FOUND. An id delivered in several chunks may come more than once, alike."""
     lists = found.groupBy("rep").agg(F.collect_list(F.arrays_zip("far", "near")).alias("lists"), F.collect_set("copy").alias("copies"))
-    best = lists.select(F.explode(F.array_union(F.array("rep"), "copies")).alias("id"), F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, keep).alias("best"))
-    if queries:
-        best = best.where(queries(F.col("id")))
-    own = best.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
-    others = own.select("id", F.slice(F.filter("best", lambda x: x["near"] != F.col("id")), 1, k).alias("best"))
-    return others.select("id", F.posexplode("best").alias("place", "x")).select("id", F.col("x.near").alias("near_id"), (F.col("place") + 1).alias("place"), (1 - F.col("x.far") / SCALE).alias("cosine"))
+    return lists.select(F.explode(F.array_union(F.array("rep"), "copies")).alias("id"), F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, keep).alias("best"))
+
+
+def _others(lists: DataFrame, k: int) -> DataFrame:
+    return lists.select("id", F.slice(F.filter("best", lambda x: x["near"] != F.col("id")), 1, k).alias("best"))
 
 
 def _columns(n: int, **columns) -> pa.Table:
@@ -337,11 +336,19 @@ def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: fl
 
     With ``queries``, a condition on the id, only those rows are queries, against all. ``fitted``: arguments of ``cells.fit``.
     """
+    lists = _lists_of(_found(df, record_id, vector, k, floor, queries, cells, fitted), k + 1)
+    if queries:
+        lists = lists.where(queries(F.col("id")))
+    own = lists.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))).alias("best"))
+    return _others(own, k).select("id", F.posexplode("best").alias("place", "x")).select("id", F.col("x.near").alias("near_id"), (F.col("place") + 1).alias("place"), (1 - F.col("x.far") / SCALE).alias("cosine"))
+
+
+def _found(df: DataFrame, record_id: str, vector: str, k: int, floor: float, queries: Callable[[Column], Column] | None, cells: ce.Cells | None, fitted: dict) -> DataFrame:
     cells = cells or ce.fit(df, record_id, vector, floor=floor if queries is None else -1.0, k=k, **fitted)
-    found = _by_leaves(df, record_id, vector, k, floor, cells) if floor > -1 and queries is None else _by_probes(df, record_id, vector, k, floor, queries, cells)
-    return _merged(found, k + 1, k, queries)
+    return _by_leaves(df, record_id, vector, k, floor, cells) if floor > -1 and queries is None else _by_probes(df, record_id, vector, k, floor, queries, cells)
 
 
-def similar_pairs(near: DataFrame) -> DataFrame:
-    """photo_id_a < photo_id_b of which one is among the neighbours of the other, once."""
-    return near.select(F.least("id", "near_id").alias("photo_id_a"), F.greatest("id", "near_id").alias("photo_id_b")).distinct()
+def similar_pairs(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: float = -1.0, cells: ce.Cells | None = None, **fitted) -> DataFrame:
+    """a < b of which one is among the ``k`` most similar of the other, once."""
+    pairs = _others(_lists_of(_found(df, record_id, vector, k, floor, None, cells, fitted), k + 1), k).select("id", F.explode("best.near").alias("near"))
+    return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()

@@ -51,7 +51,8 @@ def p4_ranked(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return neighbours.similar_pairs(neighbours.neighbours(table(spark, root, "job_photos"), "id", "embedding", 5, LINK))
+    pairs = neighbours.similar_pairs(table(spark, root, "job_photos"), "id", "embedding", 5, LINK)
+    return pairs.select(F.col("a").alias("photo_id_a"), F.col("b").alias("photo_id_b"))
 
 
 def p5_nearest(spark: SparkSession, root: str) -> DataFrame:
