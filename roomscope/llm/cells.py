@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DIM = 64
 #: Rows of a cell, rows of the sample for each cell, and the least and most rows of the sample.
-CELL_ROWS, ROWS_PER_CELL, SAMPLE_ROWS, MOST_SAMPLE = 32_000, 32, 32_000, 400_000
+CELL_ROWS, ROWS_PER_CELL, SAMPLE_ROWS, MOST_SAMPLE = 40_000, 32, 32_000, 400_000
 #: Standard deviations of the way across a border, in random direction, that the reach covers; recall and rows by which probes are set.
 DEVIATIONS, RECALL, PROBE_ROWS = 4.25, 0.98, 2_000
 #: Rows among which equal vectors are put together before the shuffle.

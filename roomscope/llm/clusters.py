@@ -108,7 +108,7 @@ def grown(df: DataFrame, record_id: str, vector: str, least: float, cells: ce.Ce
             order = np.argsort(leaf, kind="stable")
             raw = [r.tobytes() for r in np.split(cell.raw[order], np.cumsum(np.bincount(leaf))[:-1])]
             out.append(table(len(raw), leaf=pa.array(base + np.arange(len(raw))), vecs=pa.array(raw, pa.binary())))
-            pack = lv.packed(cell.x, leaf, centre, part, np.full(len(centre), least))
+            pack = lv.packed(cell.x, leaf, centre, part=part)
             sent = lv.visits(cell.x, leaf, pack, at, block, cells)
             out.append(table(len(sent["cell"]), **sent))
         return pa.concat_tables(out)
@@ -139,9 +139,10 @@ def _edges(found: DataFrame, least: float, cells: ce.Cells) -> DataFrame:
     sent = found.where("pack is not null").select("cell", "slice", "member", "own", "pack")
     drawn = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.sure_and_open(t, least, cells), f"u bigint, v bigint, {lv.FACING}"))
     open_ = drawn.where("a is not null").dropDuplicates(["a", "b"])
-    kept = lv.needed(found.where("vecs is not null").select("leaf", "vecs"), open_)
-    sides = open_.withColumnRenamed("a", "leaf").join(kept, "leaf").select("u", "v", "b", "vecs", "centre", "radius").mapInArrow(near, "u bigint, v bigint, leaf bigint, near binary")
-    exact = sides.join(kept, "leaf").select("u", "v", "near", "vecs").mapInArrow(compare, "u bigint, v bigint")
+    kept, asked = found.where("vecs is not null").select("leaf", "vecs"), open_.withColumnRenamed("a", "leaf")
+    sides = asked.join(lv.needed(kept, drawn.where("a is not null").select(F.col("a").alias("leaf"))), "leaf").select("u", "v", "b", "vecs", "centre", "radius")
+    sides = cut_lineage(sides.mapInArrow(near, "u bigint, v bigint, leaf bigint, near binary"))
+    exact = sides.join(lv.needed(kept, sides.select("leaf")), "leaf").select("u", "v", "near", "vecs").mapInArrow(compare, "u bigint, v bigint")
     return drawn.where("a is null").select("u", "v").union(exact)
 
 

@@ -30,9 +30,9 @@ FACING = "a bigint, b bigint, radius float, centre binary"
 VISIT = "cell bigint, slice int, member boolean, own bigint, pack binary"
 
 
-def record(dim: int) -> np.dtype:
-    """A packed leaf: its number, the least of the leaves it is linked with in its block, radius, least cosine of use to it, and its centre's direction."""
-    return np.dtype([("leaf", "<u4"), ("part", "<u4"), ("radius", "<f2"), ("need", "<f2"), ("centre", "u1", (-(-dim // 4) * 3,))])
+def record(dim: int, more: str) -> np.dtype:
+    """A packed leaf: its number, radius and centre's direction; and ``part``, the least of the leaves it is linked with in its block, or ``need``, the least cosine of use to it."""
+    return np.dtype([("leaf", "<u4"), (more, {"part": "<u4", "need": "<f2"}[more]), ("radius", "<f2"), ("centre", "u1", (-(-dim // 4) * 3,))])
 
 
 def six_bits(centre: np.ndarray) -> np.ndarray:
@@ -168,10 +168,11 @@ def compact(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.nda
     return leaf, centre, radius
 
 
-def packed(x: np.ndarray, leaf: np.ndarray, centre: np.ndarray, part: np.ndarray, need: np.ndarray) -> np.ndarray:
+def packed(x: np.ndarray, leaf: np.ndarray, centre: np.ndarray, **more: np.ndarray) -> np.ndarray:
     """The record of each leaf; its radius is around the centre as the record has it."""
-    out = np.zeros(len(centre), record(x.shape[1]))
-    out["leaf"], out["part"], out["need"] = np.arange(len(centre)), part, need - 1e-3  # halves of so many bits round up by less
+    ((name, value),) = more.items()
+    out = np.zeros(len(centre), record(x.shape[1], name))
+    out["leaf"], out[name] = np.arange(len(centre)), value if name == "part" else value - 1e-3  # halves of so many bits round up by less
     out["centre"] = six_bits(centre)
     radius = np.zeros(len(centre))
     np.maximum.at(radius, leaf, angle_of(x, directions(out["centre"], x.shape[1])[leaf]))
@@ -192,9 +193,9 @@ def visits(x: np.ndarray, leaf: np.ndarray, pack: np.ndarray, cell: int, block:
     return {"cell": pa.array(dest, pa.int64()), "slice": pa.array(part, pa.int32()), "member": pa.array(member), "own": pa.array([own] * len(out), pa.int64()), "pack": pa.array(raw, pa.binary())}
 
 
-def meet(t: pa.Table, least: float, cells: ce.Cells, emit: Callable) -> None:
+def meet(t: pa.Table, least: float, cells: ce.Cells, more: str, emit: Callable) -> None:
     """Give ``emit`` the pairs of leaves of one slice of a cell that radii don't prove apart: packs and blocks of visitors and members, rows of both, their angle and radii."""
-    kind = record(cells.dim)
+    kind = record(cells.dim, more)
     number = t["slice"][0].as_py()
     packs = [np.frombuffer(raw, kind) for raw in t["pack"].to_pylist()]
     sizes, owns, member = [len(p) for p in packs], t["own"].to_numpy(), t["member"].to_numpy(zero_copy_only=False)
@@ -266,7 +267,7 @@ def sure_and_open(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
         open_.append(ends[:, ~certain])
         pairs.append(_facing(a, b, oa, ob, i[~certain], j[~certain]))
 
-    meet(t, least, cells, emit)
+    meet(t, least, cells, "part", emit)
     sure_, rest = (np.concatenate(c, axis=1) for c in (sure, open_))
     names, at = np.unique(np.r_[sure_.ravel(), rest.ravel()], return_inverse=True)
     parent = roots(np.arange(len(names)), *at[: sure_.size].reshape(2, -1))
@@ -290,7 +291,7 @@ def useful(t: pa.Table, least: float, cells: ce.Cells) -> pa.Table:
         on = np.cos(np.maximum(apart - both - 1e-6, 0)) + 1e-6 >= np.minimum(a["need"][i], b["need"][j]).astype(np.float64)
         found.append(_facing(a, b, oa, ob, i[on], j[on]))
 
-    meet(t, least, cells, emit)
+    meet(t, least, cells, "need", emit)
     return _tabled(found, cells.dim)
 
 
@@ -303,7 +304,7 @@ def facing(raw: np.ndarray, centre: bytes, radius: float, least: float) -> np.nd
 def needed(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those leaves of ``kept`` that ``pairs`` names, and few others: a bitmap of at most BITS bits drops most of the rest before the shuffle."""
     bit = F.pmod(F.xxhash64("leaf"), F.lit(BITS))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("leaf")).select(bit.alias("bit"))
+    named = pairs.select(bit.alias("bit"))
     marks = named.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # bounded by BITS
     bits = {r["bucket"]: bytes(r["bits"]) for r in marks}
     none = bytes(1 << 12)

@@ -297,7 +297,7 @@ def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
             raw = [r.tobytes() for r in np.split(cell.raw[order], np.cumsum(np.bincount(leaf))[:-1])]
             own = lv.own_number(at, block) << lv.LEAF_BITS
             out.append(_columns(len(raw), leaf=pa.array(own + np.arange(len(raw))), vecs=pa.array(raw, pa.binary()), names=pa.array(_named(leaf, cell.ids, cell.reps), pa.binary())))
-            sent = lv.visits(cell.x, leaf, lv.packed(cell.x, leaf, centre, np.arange(len(centre)), least), at, block, cells)
+            sent = lv.visits(cell.x, leaf, lv.packed(cell.x, leaf, centre, need=least), at, block, cells)
             out.append(_columns(len(sent["cell"]), **sent))
         return pa.concat_tables(out)
 
@@ -306,10 +306,11 @@ def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
         return grown.where("rep is not null").select("rep", "far", "near", "copy")
     grown = stored(grown)
     sent = grown.where("pack is not null").select("cell", "slice", "member", "own", "pack")
-    pairs = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), lv.FACING)).dropDuplicates(["a", "b"])
-    kept = lv.needed(grown.where("vecs is not null").select("leaf", "vecs", "names"), pairs)
-    sides = pairs.withColumnRenamed("a", "leaf").join(kept, "leaf").select("b", "vecs", "names", "centre", "radius").mapInArrow(lambda t: _facing(t, floor, cells.dim), "leaf bigint, near_vecs binary, near_names binary")
-    scanned = sides.join(kept, "leaf").select("near_vecs", "vecs", "near_names", "names").mapInArrow(lambda b: _scan_leaves(b, keep, floor, cells.dim), FOUND)
+    pairs = cut_lineage(sent.groupBy("cell", "slice").applyInArrow(lambda t: lv.useful(t, floor, cells), lv.FACING))
+    kept, asked = grown.where("vecs is not null").select("leaf", "vecs", "names"), pairs.dropDuplicates(["a", "b"]).withColumnRenamed("a", "leaf")
+    sides = asked.join(lv.needed(kept, pairs.select(F.col("a").alias("leaf"))), "leaf").select("b", "vecs", "names", "centre", "radius")
+    sides = cut_lineage(sides.mapInArrow(lambda t: _facing(t, floor, cells.dim), "leaf bigint, near_vecs binary, near_names binary"))
+    scanned = sides.join(lv.needed(kept, sides.select("leaf")), "leaf").select("near_vecs", "vecs", "near_names", "names").mapInArrow(lambda b: _scan_leaves(b, keep, floor, cells.dim), FOUND)
     return grown.where("rep is not null").select("rep", "far", "near", "copy").union(scanned)
 
 
