@@ -150,16 +150,16 @@ def probes_for(held: np.ndarray, sample: np.ndarray, centres: np.ndarray, k: int
     return int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1
 
 
-def reach_of(floor: float, dim: int, exact: bool) -> float:
+def reach_of(floor: float, dim: int, exact: bool, deviations: float = DEVIATIONS) -> float:
     """How near to its border a cell is visited for pairs of cosine ``floor``; with a margin for rounding."""
     widest = math.sqrt((1 - floor) / 2)
-    return (widest if exact else min(widest, DEVIATIONS / 2 * math.sqrt((1 - floor * floor) / dim))) + 1e-5
+    return (widest if exact else min(widest, deviations / 2 * math.sqrt((1 - floor * floor) / dim))) + 1e-5
 
 
-def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, floor: float = 1.0, k: int = 5, dim: int = DIM, exact: bool = False) -> Cells:
+def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, floor: float = 1.0, k: int = 5, dim: int = DIM, exact: bool = False, deviations: float = DEVIATIONS) -> Cells:
     """Centres over a bounded sample: ROWS_PER_CELL rows for each cell, from ``sample_rows`` to MOST_SAMPLE, drawn by a hash of the id.
 
-    The reach is for pairs of cosine ``floor``; from -1 on, probes for ``k`` nearest. Where the most rows of a sample make too few cells, cells have more blocks.
+    The reach is for pairs of cosine ``floor``, with ``exact`` proven; from -1 on, probes for ``k`` nearest. Where the most rows of a sample make too few cells, cells have more blocks.
     """
     n = df.count()
     cells = math.ceil(n / cell_rows)
@@ -186,7 +186,7 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
     blocks = np.maximum(1, np.ceil(rows / (2 * cell_rows))).astype(np.int64)
     if floor <= -1:
         return Cells(centres, 0.0, probes_for(held, x, centres, k), blocks)
-    return Cells(centres, reach_of(floor, dim, exact), 0, blocks)
+    return Cells(centres, reach_of(floor, dim, exact, deviations), 0, blocks)
 
 
 def _routes(x: np.ndarray, cells: Cells, visits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,10 +30,12 @@ from . import leaves as lv
 #: Columns of a block, after each of which a candidate is tested, and how many standard errors of chance it is given. Where over WASTE of the
 #: candidates of a first piece outlast the first block, the next one is joined to it.
 BLOCK, CHANCE, WASTE = 16, 3.0, 0.02
+#: See ``cells``; losing a pair costs less here than among linked clusters.
+DEVIATIONS = 3.5
 QUERY_ROWS, LIST_ROWS = 1024, 2048
 SCALE = 1_000_000_000
 FOUND = "rep bigint, far array<int>, near array<bigint>, copy bigint"
-#: FOUND, or a leaf with its vectors and their names (numbers of ids and representatives of each, ids, representatives), or a visit of ``leaves``.
+#: FOUND, or a leaf with its vectors and their names (one id of each; or numbers of ids and representatives of each, ids, representatives), or a visit of ``leaves``.
 ROWS = f"{FOUND}, leaf bigint, vecs binary, names binary, {lv.VISIT}"
 
 
@@ -169,8 +171,17 @@ def scan_block(cell: ce.Cell, k: int, floor: float) -> tuple[np.ndarray, np.ndar
     return _best_ids(cell.ids, np.r_[row, own], np.r_[other, own], np.r_[cos, np.ones(len(own))], k)
 
 
+def _without_self(cell: ce.Cell, row: np.ndarray, near: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries without the row itself where it has one id only; copies need their common list whole."""
+    alone = np.bincount(cell.ids[0], minlength=len(cell.x)) == 1
+    first = np.full(len(cell.x), -1, np.int64)
+    first[cell.ids[0]] = cell.ids[1]
+    on = ~(alone[row] & (near == first[row]))
+    return row[on], near[on], cos[on]
+
+
 def _lists_of(found: DataFrame, keep: int) -> DataFrame:
-    """id, best: the ``keep`` best of each id, itself among them, from the lists and copies of FOUND. An id delivered in several chunks may come more than once, alike."""
+    """id, best: the ``keep`` best of each id, from the lists and copies of FOUND. An id delivered in several chunks may come more than once, alike."""
     lists = found.groupBy("rep").agg(F.collect_list(F.arrays_zip("far", "near")).alias("lists"), F.collect_set("copy").alias("copies"))
     return lists.select(F.explode(F.array_union(F.array("rep"), "copies")).alias("id"), F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, keep).alias("best"))
 
@@ -195,12 +206,15 @@ def _named(leaf: np.ndarray, ids: tuple[np.ndarray, np.ndarray], reps: tuple[np.
         by = np.argsort(place[row], kind="stable")
         count = np.bincount(row, minlength=len(leaf))[order]
         parts.append((np.split(count, sizes[:-1]), np.split(value[by], np.cumsum(np.add.reduceat(count, np.r_[0, sizes[:-1]]))[:-1])))
-    return [np.concatenate([a, b, c, d]).astype("<i8").tobytes() for a, b, c, d in zip(parts[0][0], parts[1][0], parts[0][1], parts[1][1], strict=True)]
+    whole = lambda a, b, c, d: c if len(c) == len(d) == len(a) and (c == d).all() else np.concatenate([a, b, c, d])
+    return [whole(a, b, c, d).astype("<i8").tobytes() for a, b, c, d in zip(parts[0][0], parts[1][0], parts[0][1], parts[1][1], strict=True)]
 
 
 def _names(raw: bytes, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and id of the ids, and of the representatives, of a leaf of ``rows`` vectors."""
     v = np.frombuffer(raw, "<i8")
+    if len(v) == rows:  # each vector has one id, its own representative
+        return np.arange(rows), v, np.arange(rows), v
     a, b = v[:rows], v[rows : 2 * rows]
     return np.repeat(np.arange(rows), a), v[2 * rows : 2 * rows + a.sum()], np.repeat(np.arange(rows), b), v[2 * rows + a.sum() :]
 
@@ -283,8 +297,7 @@ def _by_leaves(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
         at, block = key[0].as_py(), key[1].as_py()
         cell = ce.read_cell(t, keep, cells.dim)
         row, near, cos = scan_block(cell, keep, floor)
-        some = np.bincount(row, minlength=len(cell.x))[row] > 1
-        lists = _lists(cell.reps, row[some], near[some], cos[some])
+        lists = _lists(cell.reps, *_without_self(cell, row, near, cos))
         out = [_columns(len(lists["rep"]), **lists)]
         if many:
             count, last = np.bincount(row, minlength=len(cell.x)), np.r_[row[1:] != row[:-1], True]
@@ -325,8 +338,8 @@ def _by_probes(df: DataFrame, record_id: str, vector: str, k: int, floor: float,
             return _columns(len(rep), rep=rep, copy=copy).select(["rep", "far", "near", "copy"])
         cell = ce.read_cell(t, keep, cells.dim)
         row, near, cos = scan_block(cell, keep, floor)
-        some = (np.bincount(row, minlength=len(cell.x))[row] > 1) & cell.asks[row]
-        lists = _lists(cell.reps, row[some], near[some], cos[some])
+        some = cell.asks[row]
+        lists = _lists(cell.reps, *_without_self(cell, row[some], near[some], cos[some]))
         return _columns(len(lists["rep"]), **lists).select(["rep", "far", "near", "copy"])
 
     return ce.route(df, record_id, vector, cells, keep, asks).groupBy("cell", "block").applyInArrow(run, FOUND)
@@ -345,7 +358,7 @@ def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: fl
 
 
 def _found(df: DataFrame, record_id: str, vector: str, k: int, floor: float, queries: Callable[[Column], Column] | None, cells: ce.Cells | None, fitted: dict) -> DataFrame:
-    cells = cells or ce.fit(df, record_id, vector, floor=floor if queries is None else -1.0, k=k, **fitted)
+    cells = cells or ce.fit(df, record_id, vector, **{"floor": floor if queries is None else -1.0, "k": k, "deviations": DEVIATIONS} | fitted)
     return _by_leaves(df, record_id, vector, k, floor, cells) if floor > -1 and queries is None else _by_probes(df, record_id, vector, k, floor, queries, cells)
 
 
