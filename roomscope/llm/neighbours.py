@@ -182,7 +182,8 @@ def _without_self(cell: ce.Cell, row: np.ndarray, near: np.ndarray, cos: np.ndar
 
 def _lists_of(found: DataFrame, keep: int) -> DataFrame:
     """id, best: the ``keep`` best of each id, from the lists and copies of FOUND. An id delivered in several chunks may come more than once, alike."""
-    lists = found.groupBy("rep").agg(F.collect_list(F.arrays_zip("far", "near")).alias("lists"), F.collect_set("copy").alias("copies"))
+    some = F.collect_list(F.when(F.size("near") > 0, F.struct("far", "near")))  # two flat arrays travel, not structs
+    lists = found.groupBy("rep").agg(F.transform(some, lambda x: F.arrays_zip(x["far"].alias("far"), x["near"].alias("near"))).alias("lists"), F.collect_set("copy").alias("copies"))
     return lists.select(F.explode(F.array_union(F.array("rep"), "copies")).alias("id"), F.slice(F.array_sort(F.array_distinct(F.flatten("lists"))), 1, keep).alias("best"))
 
 
