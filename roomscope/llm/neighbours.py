@@ -31,7 +31,7 @@ from . import leaves as lv
 #: candidates of a first piece outlast the first block, the next one is joined to it.
 BLOCK, CHANCE, WASTE = 16, 3.0, 0.02
 #: See ``cells``; losing a pair costs less here than among linked clusters.
-DEVIATIONS = 3.5
+DEVIATIONS, CELL_ROWS = 3.5, 56_000
 QUERY_ROWS, LIST_ROWS = 1024, 2048
 SCALE = 1_000_000_000
 FOUND = "rep bigint, far array<int>, near array<bigint>, copy bigint"
@@ -79,9 +79,11 @@ def first_blocks(x: np.ndarray, queries: np.ndarray, members: np.ndarray, bound:
 def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, neighbour and rounded cosine of the ``k`` best of each row, as far as the scan of ``queries`` against ``members`` finds them.
 
-    ``x`` has unit rows. ``tie`` orders equal ones. The row itself is among its own.
+    ``x`` has unit rows. ``tie`` orders equal ones. The row itself is among its own. Where the queries are the members, each pair is looked at from one side.
     """
     dim = x.shape[1]
+    half = np.array_equal(queries, members)
+    limit = np.full(len(x) if half else 0, 2 - 2 * floor + 2e-6, np.float32)
     turned = x @ rotation(dim)
     whole, wide = turned.astype(np.float32), 2 - 2 * floor > 1
     ends = first_blocks(whole, queries, members, 2 - 2 * floor) if not wide else [dim]
@@ -96,7 +98,7 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
         head = np.concatenate([parts[0][q], squares[q][:, None], np.ones((len(q), 1), np.float32)], axis=1)
         bound = np.full(len(q), 2 - 2 * floor + 2e-6, np.float32)
         have = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for b in range(0, len(members), LIST_ROWS):
+        for b in range(a if half and not wide else 0, len(members), LIST_ROWS):
             m = members[b : b + LIST_ROWS]
             if wide:  # no block of columns tells much: all columns, and the best of the first list give the first bound
                 close = whole[q] @ whole[m].T
@@ -107,11 +109,11 @@ def scan(x: np.ndarray, queries: np.ndarray, members: np.ndarray, tie: np.ndarra
                 else:
                     i, j = np.nonzero(close >= (1 - bound / 2 - 2e-5)[:, None])
             else:
-                i, j = np.divmod(np.flatnonzero((head @ targets[m].T <= (bound * give[0])[:, None]).ravel()), len(m))
+                i, j = np.divmod(np.flatnonzero((head @ targets[m].T <= ((limit[q] if half else bound) * give[0])[:, None]).ravel()), len(m))
                 gone = ((parts[0][q[i]] - parts[0][m[j]]) ** 2).sum(axis=1) if len(i) else np.empty(0, np.float32)
                 for part, share in zip(parts[1:], give[1:], strict=True):
                     gone = gone + ((part[q[i]] - part[m[j]]) ** 2).sum(axis=1)
-                    on = gone <= bound[i] * share + 2e-5
+                    on = gone <= (np.maximum(bound[i], limit[m[j]]) if half else bound[i]) * share + 2e-5
                     i, j, gone = i[on], j[on], gone[on]
             if not len(i):
                 continue
@@ -359,7 +361,7 @@ def neighbours(df: DataFrame, record_id: str, vector: str, k: int = 5, floor: fl
 
 
 def _found(df: DataFrame, record_id: str, vector: str, k: int, floor: float, queries: Callable[[Column], Column] | None, cells: ce.Cells | None, fitted: dict) -> DataFrame:
-    cells = cells or ce.fit(df, record_id, vector, **{"floor": floor if queries is None else -1.0, "k": k, "deviations": DEVIATIONS} | fitted)
+    cells = cells or ce.fit(df, record_id, vector, **{"floor": floor if queries is None else -1.0, "k": k, "deviations": DEVIATIONS, "cell_rows": CELL_ROWS if floor > -1 else ce.CELL_ROWS} | fitted)
     return _by_leaves(df, record_id, vector, k, floor, cells) if floor > -1 and queries is None else _by_probes(df, record_id, vector, k, floor, queries, cells)
 
 
