@@ -85,7 +85,7 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    net = abuse.fit_on(table(spark, root, "content_labels"), docs, "doc_id", "text")
+    net = abuse.fit_on(table(spark, root, "content_labels"))
     return docs.select("doc_id", "source", abuse.score_column(F.col("text"), net).alias("score"))
 
 

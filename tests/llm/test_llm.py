@@ -202,6 +202,8 @@ def test_words_lose_their_disguise():
     assert abuse.words("V3rp1$$ d1ch") == ["verpiss", "dich"]
     assert abuse.words(None) == abuse.words(" \n") == abuse.words("") == []
     assert [len(w) for w in abuse.words("x" + "ab" * 40)] == [24, 24, 24, 9]
+    assert abuse.words("<p>you <b>idiot</b></p> <img alt=\"you fool\">") == ["you", "idiot", "you", "fool"]
+    assert abuse.words("idiot2 ni66er id7788abc") == ["idiotz", "nigger", "#x", "abc"]
 
 
 def test_windows_cover_all_words():
@@ -234,14 +236,28 @@ def test_gradients_against_differences():
             assert (up - down) / 2e-3 == pytest.approx(g[i], abs=2e-4)
 
 
-def test_classifier_on_held_out_sentences(spark):
+def test_classifier_on_held_out_sentences(spark, tmp_path):
+    """Folds of the labels: neither a sentence of the left-out fold nor a variation of it is fitted on; the grammar can't make the harmless ones, and few of the others."""
     labels = spark.read.parquet(str(DATA / "content_labels.parquet"))
-    known = [(r.text, r.label) for r in labels.select("text", "label").collect()]
-    net = abuse.fit(known[::2], [], 1500, 3)
+    known = sorted({(r.text, r.label) for r in labels.select("text", "label").collect()})
+    net = abuse.fit(known[::2], 2500, 3)
     rest = known[1::2]
     scores = abuse.Scorer(net).texts([t for t, _ in rest])
-    assert np.mean((scores >= 0.5) == np.array([y == 1 for _, y in rest])) >= 0.85
-    df = spark.createDataFrame([(0, None), (1, ""), (2, " \n"), (3, "The room is quiet. " * 500), (4, "The room is quiet. " * 300 + "You worthless idiot, shut your mouth. " + "The room is quiet. " * 300)], "id long, text string")
+    y = np.array([y == 1 for _, y in rest])
+    assert (scores[y] >= abuse.THRESHOLD).mean() >= 0.9 and (scores[~y] < abuse.THRESHOLD).mean() >= 0.85
+    df = spark.createDataFrame([(0, None), (1, ""), (2, " \n"), (3, "The room is quiet. " * 500), (4, "The room is quiet. " * 300 + "You worthless idiot, shut your mouth. " + "The room is quiet. " * 300), (5, "nice <you are a worthless idiot, shut your mouth> room")], "id long, text string")
     got = {r.id: r.s for r in df.select("id", abuse.score_column(F.col("text"), net).alias("s")).collect()}
-    assert got[0] == got[1] == got[2] == 0 and got[4] > 0.8 > got[3]
+    assert got[0] == got[1] == got[2] == 0 and got[4] > 0.8 > got[3] and got[5] > 0.8
     assert df.limit(0).select(abuse.score_column(F.col("text"), net)).count() == 0
+    abuse.save(spark, net, str(tmp_path / "w"))
+    again = abuse.Scorer(abuse.load(spark, str(tmp_path / "w"))).texts([t for t, _ in rest])
+    assert np.allclose(again, scores, atol=1e-6)
+
+
+def test_scorer_equals_the_network():
+    net = abuse.Network.fresh(3)
+    rows = [["you", "fool", "you"], ["a", "quiet", "room", "here"] * 6]
+    index, mask, vocabulary = abuse.indexed(rows)
+    by_word = net.gates(net.embed(vocabulary)[0])
+    want = abuse.sigmoid(net.forward({d: by_word[d][index] for d in "fb"}, mask)[0])
+    assert np.allclose(abuse.Scorer(net).windows(rows), want, atol=1e-5)
