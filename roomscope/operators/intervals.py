@@ -1,7 +1,7 @@
 """Continuous periods of overlapping intervals per entity, and the gaps between them.
 
 ``session_window`` with each row's own duration merges overlapping intervals natively. It runs twice: first within
-(entity, salt of time), so that a very large entity is merged in many tasks, then per entity over what is left.
+(entity, slice of time), where an entity of very many rows has as many slices as those need, then per entity over what is left.
 Periods that only touch are joined after that, and gaps come from ``lead``.
 
 Defined cases: times are rounded half up to whole milliseconds; rows with a null, NaN or infinite time, or an end not
@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the time slices that spread one entity over tasks, in milliseconds.
-SLICE_MS = 3_600_000
-#: Times beyond this many seconds have no timestamp.
-LIMIT_S = 9.0e9
+#: Rows of an entity from which its time is cut into slices, each of about so many rows.
+SLICE_ROWS = 50_000
+#: Times beyond this many seconds have no timestamp that Spark can hold.
+LIMIT_S = 9.0e12
 
 
 def whole_ms(c: Column) -> Column:
@@ -40,12 +40,20 @@ def _sessions(rows: DataFrame, *keys: str) -> DataFrame:
     return merged.agg(F.sum("covered").alias("covered")).select(*keys, F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "covered")
 
 
-def periods(rows: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """Adds ``part``: for an entity of many rows, the slice of its time by start; its slices are equally long, and so many that one has ``slice_rows`` rows if starts are spread evenly."""
+    large = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("low"), F.max("start_ms").alias("high")).where(F.col("n") > slice_rows)
+    width = F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low")) * slice_rows / F.col("n")))
+    large = large.select(F.col("entity").alias("big"), "low", width.alias("width"))
+    return rows.join(large, F.col("entity").eqNullSafe(F.col("big")), "left").withColumn("part", F.coalesce(F.floor((F.col("start_ms") - F.col("low")) / F.col("width")), F.lit(0))).drop("big", "low", "width")
+
+
+def periods(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """entity, start_ms, end_ms, overlapping: one row per continuous period of ``intervals``.
 
     A period overlaps somewhere exactly if its intervals are longer together than it is.
     """
-    rows = rows.select("entity", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("covered"), F.floor(F.col("start_ms") / slice_ms).alias("part"))
+    rows = _sliced(rows.select("entity", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("covered")), slice_rows)
     merged = _sessions(_sessions(rows, "entity", "part"), "entity")
     in_order = Window.partitionBy("entity").orderBy("start_ms")
     fresh = F.when(F.lag("end_ms").over(in_order) >= F.col("start_ms"), 0).otherwise(1)
@@ -54,10 +62,10 @@ def periods(rows: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     return joined.select("entity", "start_ms", "end_ms", (F.col("covered") > F.col("end_ms") - F.col("start_ms")).alias("overlapping"))
 
 
-def merged_and_gaps(rows: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def merged_and_gaps(rows: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """entity, kind, start_ms, end_ms: 'merged' for each period with an overlap, 'gap' for each hole between periods."""
     follow = F.lead("start_ms").over(Window.partitionBy("entity").orderBy("start_ms"))
-    both = periods(rows, slice_ms).withColumn("next_ms", follow).select(
+    both = periods(rows, slice_rows).withColumn("next_ms", follow).select(
         "entity",
         F.explode(
             F.array(

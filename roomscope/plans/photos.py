@@ -136,7 +136,8 @@ def beat_snap(spark: SparkSession, root: str, beat_ms: int = 500) -> DataFrame:
 
 
 def orphan_children(spark: SparkSession, root: str) -> DataFrame:
-    jobs = table(spark, root, "jobs").select(F.col("id").alias("job_id"))
+    """Clips of no job that is still in an early phase."""
+    jobs = table(spark, root, "jobs").where("current_phase is null or current_phase < 3").select(F.col("id").alias("job_id"))
     return table(spark, root, "clips").dropDuplicates(["id"]).join(jobs, "job_id", "left_anti").select("id", "job_id")
 
 
@@ -224,7 +225,7 @@ SQL = {
         ELSE greatest(0, TRY_CAST(round(out_time * 1000) AS BIGINT) - TRY_CAST(round(in_time * 1000) AS BIGINT)) END, 0) AS ms FROM (SELECT DISTINCT ON (id) * FROM timeline_clips))
       SELECT id, timeline_id, CAST(sum(ms) OVER (PARTITION BY timeline_id ORDER BY order_index, id ROWS UNBOUNDED PRECEDING) - ms AS BIGINT) AS offset_ms, ms AS length_ms FROM r""",
     "beat_snap": "SELECT id, TRY_CAST(floor((round(in_time * 1000) + 250) / 500) * 500 AS BIGINT) AS snapped_ms FROM (SELECT DISTINCT ON (id) * FROM timeline_clips) WHERE in_time IS NOT NULL AND NOT isnan(in_time)",
-    "orphan_children": "SELECT id, job_id FROM (SELECT DISTINCT ON (id) * FROM clips) WHERE job_id NOT IN (SELECT id FROM jobs)",
+    "orphan_children": "SELECT id, job_id FROM (SELECT DISTINCT ON (id) * FROM clips) WHERE job_id NOT IN (SELECT id FROM jobs WHERE current_phase IS NULL OR current_phase < 3)",
     "cascade_keep": "SELECT id, job_id, room_cluster_id FROM (SELECT DISTINCT ON (id) * FROM clips) WHERE job_id IN (SELECT id FROM jobs) AND room_cluster_id IN (SELECT id FROM room_clusters)",
     "job_contents": """SELECT t.job_id, count(DISTINCT t.id) AS timelines, count(tc.clip_id) AS placed, round(coalesce(sum(c.duration), 0.0), 4) AS seconds FROM (SELECT DISTINCT ON (id) * FROM timelines) t
       LEFT JOIN (SELECT DISTINCT ON (id) * FROM timeline_clips) tc ON tc.timeline_id = t.id LEFT JOIN (SELECT DISTINCT ON (id) * FROM clips) c ON c.id = tc.clip_id GROUP BY 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources.tables import table
 from ..streaming import messages
 
@@ -49,8 +50,9 @@ def message_stream(spark: SparkSession, root: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("user_id").cast("string").alias("project_id"), F.when(F.col("event_type") != "click", F.lit("run")).otherwise(F.lit("cancel")).alias("action")))
     msgs = messages.parse(raw.select(F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("at"), body.alias("body")))
     counted = messages.once(messages.runnable(msgs), "message_id", "at").select("message_id", "project_id")
-    out = messages.run_to_table(spark, counted, "append", "roomscope_messages")
-    return out.groupBy("project_id").agg(F.count(F.lit(1)).alias("jobs"))
+    out = shared_folder(spark, "messages")
+    messages.drain_to_table(counted, out, shared_folder(spark, "offsets"))
+    return spark.read.schema("message_id bigint, project_id string").parquet(out).groupBy("project_id").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 def message_batch(spark: SparkSession, root: str) -> DataFrame:
@@ -66,18 +68,21 @@ _BOTH = {
     "order_cube": "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) + 2 * grouping(o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "line_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "line_grouping_sets": "SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linenumber), ())",
-    "customers_without_orders": "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
+    "customers_without_orders": "SELECT c_custkey FROM customer LEFT ANTI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000) o ON c_custkey = o_custkey",
     "customers_with_orders": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "nation_full_join": "SELECT c.k AS c_nation, s.k AS s_nation, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) c FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey % 3 = 0 GROUP BY 1) s ON c.k = s.k",
     "nation_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "nation_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "key_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "key_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "running_spend": "SELECT o_orderkey, row_number() OVER w AS place, CAST(round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS DOUBLE) AS spent, lag(o_orderkey) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    "price_bands": "SELECT band, count(*) AS n, CAST(round(sum(p_retailprice), 2) AS DOUBLE) AS price FROM part JOIN (SELECT 'low' AS band, 0.0 AS a, 905.0 AS b UNION ALL SELECT 'middle', 905.0, 912.5 UNION ALL SELECT 'high', 912.5, 1e9) bands ON p_retailprice >= a AND p_retailprice < b GROUP BY band",
+    "late_orders": "SELECT o_orderkey, CAST(CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS STRING) AS due, year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' - INTERVAL 90 DAY",
+    "exact_totals": "SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderpriority",
     "top_parts": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20",
 }
 QUERIES = {name: _sql(text) for name, text in _BOTH.items()} | {f.__name__: f for f in (asof_price, sessions, pivot_events, message_stream, message_batch)}
 SQL = _BOTH | {
-    "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
     "asof_price": """SELECT b.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') b
       LEFT JOIN LATERAL (SELECT event_id FROM events e WHERE event_type = 'view' AND e.user_id = b.user_id AND e.ts <= b.ts ORDER BY ts DESC, event_id DESC LIMIT 1) v ON true""",
     "sessions": """WITH m AS (SELECT user_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomscope.functions import columns as c
-from roomscope.functions import imaging
-from roomscope.operators import graph, intervals, rooms
+from roomscope.functions import imaging, models
+from roomscope.operators import graph, intervals, joins, rooms, stages
 from roomscope.operators import references as rf
 
 D = lambda d: datetime(2025, 1, d)
@@ -44,13 +44,13 @@ def brute_periods(rows):
     return out
 
 
-@pytest.mark.parametrize("slice_ms", [3, 50, 10**7])
-def test_intervals_against_brute_force(spark, slice_ms):
+@pytest.mark.parametrize("slice_rows", [1, 7, 10**7])
+def test_intervals_against_brute_force(spark, slice_rows):
     r = np.random.default_rng(1)
     rows = [(i, int(k), s / 1000, (s + n) / 1000, "x") for i, (k, s, n) in enumerate(zip(r.integers(0, 6, 300), r.integers(-20, 400, 300).tolist(), r.integers(-1, 9, 300).tolist(), strict=True))]
     rows += [(900, 1, None, 2.0, "x"), (901, 1, float("nan"), 2.0, "x"), (902, 1, 0.0, float("inf"), "x"), rows[0]]
     df = spark.createDataFrame(rows, "id long, entity_id long, a double, b double, start_ms string")
-    got = intervals.merged_and_gaps(intervals.intervals(df, "id", "entity_id", "a", "b"), slice_ms)
+    got = intervals.merged_and_gaps(intervals.intervals(df, "id", "entity_id", "a", "b"), slice_rows)
     want = set()
     for k in range(6):
         p = brute_periods([(round(a * 1000), round(b * 1000)) for i, e, a, b, _ in rows if e == k and i < 900 and round(b * 1000) > round(a * 1000)])
@@ -106,3 +106,55 @@ def test_room_sub_clusters(spark, block):
     broken = [(10, 1, "b", [1.0, 0.0]), (11, 1, "b", None), (12, 1, "b", [0.0, 1.0]), (20, 1, "c", [0.0, 0.0]), (21, 1, "c", [1.0, 0.0]), (30, 2, "a", [1.0, 0.0])]
     got = rooms.numbered(rooms.sub_clusters(spark.createDataFrame(chain + broken, "id long, job_id long, label string, x array<double>"), 0.3, block))
     assert {x.id: (x.first_id, x.cluster_seq) for x in got.collect()} == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (3, 2), 10: (10, 3), 11: (10, 3), 12: (10, 3), 20: (20, 4), 21: (20, 4), 30: (30, 1)}
+
+
+def test_one_busy_entity_is_cut_into_slices(spark):
+    """All intervals of one entity start within a second, and still go to several slices."""
+    rows = spark.range(1000).selectExpr("cast(1 as bigint) entity", "id * 2 start_ms", "id * 2 + 1 end_ms", "cast(1 as bigint) covered")
+    assert intervals._sliced(rows, 100).select("part").distinct().count() >= 10
+    assert intervals._sliced(rows, 10_000).select("part").distinct().count() == 1
+    assert intervals.periods(rows.select("entity", "start_ms", "end_ms"), 100).count() == 1000
+
+
+def test_far_times_keep_their_periods(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 1e10), (2, 1, 5.0, 6.0), (3, 1, 1e10, 2e10)], "id long, e long, a double, b double")
+    assert [tuple(r) for r in intervals.periods(intervals.intervals(df, "id", "e", "a", "b")).collect()] == [(1, 0, 20_000_000_000_000, True)]
+
+
+def test_edits_and_states(spark):
+    rows = spark.createDataFrame([(i, i, float(i), i + 1.0) for i in range(6)], "id long, order_index int, in_time double, out_time double")
+    edits = spark.createDataFrame([(0, 1, "remove", 0.0), (1, 1, "remove", 0.0), (1, 2, "restore", 0.0), (2, 3, "trim", 0.5), (2, 1, "trim", 0.1), (3, 1, "move", 9.0), (9, 1, "remove", 0.0)], "id long, seq int, op string, value double")
+    got = {r.id: (r.order_index, r.in_time, r.out_time) for r in joins.fold_edits(rows, edits, "id").collect()}
+    assert got == {1: (1, 1.0, 2.0), 2: (2, 2.0, 2.5), 3: (9, 3.0, 4.0), 4: (4, 4.0, 5.0), 5: (5, 5.0, 6.0)}
+    assert {r.id for r in joins.fold_edits(rows, edits.limit(0), "id").collect()} == set(range(6))
+
+
+def test_stages_start_anew(spark, tmp_path):
+    calls = []
+
+    def stage(name):
+        def run(df):
+            calls.append(name)
+            return df.withColumn(name, F.lit(1))
+
+        return name, run
+
+    made = [stage("a"), stage("b"), stage("c")]
+    source = spark.range(3)
+    assert stages.run_stages(spark, source, made, str(tmp_path)).columns == ["id", "a", "b", "c"]
+    assert stages.run_stages(spark, source, made, str(tmp_path), start=2).count() == 3
+    assert calls == ["a", "b", "c", "c"]
+    cached = spark.createDataFrame([(1, "2030-01-01 00:00:00"), (2, "2000-01-01 00:00:00")], "id long, expires_at string").withColumn("expires_at", F.col("expires_at").cast("timestamp"))
+    assert {r.id for r in stages.not_cached(source, cached, "id", "2024-01-01 00:00:00").collect()} == {0, 2}
+
+
+def test_models(spark):
+    def load():
+        return lambda images: [[float(len(i)), 0.0] if len(i) < 4 else 1 / 0 for i in images]
+
+    df = spark.createDataFrame([(0, b"abc"), (1, None), (2, b"toolong")], "id long, image binary")
+    got = {r.id: r.v for r in df.select("id", models.embedding(F.col("image"), load, "stub").alias("v")).collect()}
+    assert got == {0: [1.0, 0.0], 1: None, 2: None}
+    depth = df.where("id = 0").select(models.depth_map(F.col("image"), lambda: lambda images: [np.ones((2, 3)) for _ in images], "depths").alias("d")).first().d
+    assert depth == [[1.0] * 3] * 2
+    assert models.pick_device(lambda d: d == "cuda") == "cuda" and models.pick_device(lambda d: False) == "cpu"

@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-from roomscope.plans import photos, problems, star
+from roomscope.plans import photos, problems, records, star
 from tests.conftest import DATA
 from tests.oracle import assert_same
 
-QUERIES = problems.QUERIES | photos.QUERIES | star.QUERIES
-SQL = problems.SQL | photos.SQL | star.SQL
+QUERIES = problems.QUERIES | photos.QUERIES | records.QUERIES | star.QUERIES
+SQL = problems.SQL | photos.SQL | records.SQL | star.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
