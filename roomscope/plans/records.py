@@ -18,7 +18,7 @@ def _one(spark: SparkSession, root: str, name: str) -> DataFrame:
     return table(spark, root, name).dropDuplicates(["id"])
 
 
-def job_lookup(spark: SparkSession, root: str, job_id: int = 20) -> DataFrame:
+def job_lookup(spark: SparkSession, root: str, job_id: int = 13) -> DataFrame:
     """The status of one job; the equality reaches the scan."""
     return table(spark, root, "jobs").where(F.col("id") == job_id).limit(1).select(F.col("id").alias("job_id"), "project_id", "status", "current_phase", "error_message")
 
@@ -202,7 +202,7 @@ _JP, _CLIPS, _JOBS, _RC, _TC, _TL = (_D.format(t) for t in ("job_photos", "clips
 _HASH = "md5(coalesce(motion_type, '') || '|' || coalesce(model_used, '') || '|' || CAST(coalesce(job_id, 0) AS VARCHAR))"
 _CUSTOMER = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
 SQL = {
-    "job_lookup": "SELECT id AS job_id, project_id, status, current_phase, error_message FROM jobs WHERE id = 20 LIMIT 1",
+    "job_lookup": "SELECT id AS job_id, project_id, status, current_phase, error_message FROM jobs WHERE id = 13 LIMIT 1",
     "first_job": "SELECT id, project_id FROM jobs ORDER BY id LIMIT 1",
     "error_text": f"SELECT id, left(error_message, 1000) AS error FROM {_JOBS} WHERE error_message IS NOT NULL",
     "job_photo_batch": f"SELECT j.id AS job_id, count(p.id) AS photos FROM {_JOBS} j LEFT JOIN (SELECT DISTINCT id, project_id FROM photos WHERE status = 2) p ON p.project_id = j.project_id GROUP BY j.id",
@@ -219,7 +219,7 @@ SQL = {
     "sliding_counts": "SELECT strftime(date_trunc('day', ts) - to_days(CAST(k AS INTEGER)), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, range(2) t(k) GROUP BY ALL",
     "view_to_purchase": "SELECT v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 HOUR WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
     "beat_grid_snap": f"SELECT c.id, list_min(list_transform(list_filter(t.beat_grid, lambda b: b IS NOT NULL AND NOT isnan(b)), lambda b: {{'d': abs(b - c.in_time), 'v': b}})).v AS beat FROM {_TC} c JOIN {_TL} t ON t.id = c.timeline_id WHERE len(t.beat_grid) > 0 AND c.in_time IS NOT NULL AND NOT isnan(c.in_time)",
-    "edited_timelines": f"SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE order_index END AS order_index, round(in_time, 6) AS in_time, round(CASE WHEN id % 5 = 0 THEN least(out_time, in_time + 1.5) ELSE out_time END, 6) AS out_time FROM {_TC} WHERE in_time - in_time = 0 AND out_time - out_time = 0 AND (id % 7 <> 0 OR id % 35 = 0)",
+    "edited_timelines": f"SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE order_index END AS order_index, round(in_time, 6) + 0.0 AS in_time, round(CASE WHEN id % 5 = 0 THEN least(out_time, in_time + 1.5) ELSE out_time END, 6) + 0.0 AS out_time FROM {_TC} WHERE in_time - in_time = 0 AND out_time - out_time = 0 AND (id % 7 <> 0 OR id % 35 = 0)",
     "uncached_clips": f"WITH k AS (SELECT id, loaded_at, {_HASH} AS hash FROM {_CLIPS}) SELECT id, hash FROM k WHERE id % 2 = 1 AND hash NOT IN (SELECT hash FROM k WHERE id % 2 = 0 AND loaded_at + INTERVAL 30 DAY > TIMESTAMP '2024-03-01 00:00:00')",
     "model_embedding": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first, round(CAST(embedding[64] AS DOUBLE) / n, 6) AS last FROM (SELECT *, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)",
     "user_event_map": "SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS events FROM events GROUP BY 1",
