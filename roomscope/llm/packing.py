@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 CAPACITY, MAX_DOCS = 2048, 1024
-BLOCK_ITEMS, MERGED, CARRY = 20_000, 64, 1_500
+BLOCK_ITEMS, MERGED, CARRY, MOST_TASKS = 20_000, 64, 1_500, 10_000
 #: Weights of tokens, documents and attention cost in the norm.
 WEIGHTS = (1.0, 0.05, 0.05)
 #: Containers filled below this share may be packed again.
@@ -38,6 +38,9 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DO
     attention = float(capacity) ** 2 if attention is None else attention
     wt, wd, wa = weights
     order = np.argsort(-sizes, kind="stable")
+    order = order[: int((sizes > 0).sum())]
+    least = float(sizes[order[-1]]) if len(order) else 0.0
+    closed: list[tuple[int, int]] = []  # containers and the documents that they could still hold
     home = np.empty(len(sizes), np.int64)
     room = np.empty((3, 64))  # open containers only: tokens, documents, attention
     number = np.empty(64, np.int64)
@@ -59,9 +62,14 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DO
             made += 1
         room[:, k] -= s, 1, s * s
         home[i] = number[k]
-        if room[1, k] < 1:  # closed
+        if room[1, k] < 1 or room[0, k] < least or room[2, k] < least * least:  # nothing more fits
+            closed.append((int(number[k]), int(room[1, k]) if room[2, k] >= 0 else 0))
             count -= 1
             room[:, k], number[k] = room[:, count], number[count]
+    empty = np.flatnonzero(sizes <= 0)  # need a document's place only
+    places = np.repeat(*(np.array(v, np.int64) for v in zip(*closed, *((int(number[k]), int(room[1, k])) for k in range(count)), strict=True))) if made else np.empty(0, np.int64)
+    more = max(0, len(empty) - len(places))
+    home[empty] = np.concatenate([places[: len(empty)], made + np.arange(more) // max_docs])
     return home
 
 
@@ -94,19 +102,20 @@ def pack_containers(items: DataFrame, capacity: int = CAPACITY, max_docs: int =
     """container_id, doc_ids, sizes, tokens of the containers of ``items`` (doc_id bigint, size bigint)."""
     arrow = pa.schema([("container_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.int64()), ("again", pa.bool_())])
 
-    def packed(rows: DataFrame, level: int, last: bool) -> DataFrame:
+    def packed(rows: DataFrame, level: int, blocks: int, last: bool) -> DataFrame:
         def run(key, table):
             ids, sizes = table["doc_id"].to_pylist(), table["size"].to_pylist()
             first = (level << 58) + (key[0].as_py() << 26)
             return pa.Table.from_pylist(pack(ids, sizes, first, capacity, max_docs, attention, 0 if last else carry), schema=arrow)
 
-        return rows.groupBy("block").applyInArrow(run, SCHEMA)
+        tasks = min(MOST_TASKS, blocks)
+        return rows.repartition(tasks, "block").groupBy("block").applyInArrow(run, SCHEMA)  # by their number, as packing costs time, not bytes
 
     blocks = max(1, math.ceil(items.count() / block_items))
-    rows = items.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)))
     done, level = [], 0
     while True:
-        made = packed(rows, level, blocks == 1)
+        made = packed(rows, level, blocks, blocks == 1)
         if blocks == 1:
             done.append(made)
             break

@@ -83,6 +83,28 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return total.select("containers", F.ceil(F.col("tokens") / packing.CAPACITY).alias("at_least"), "pieces", F.round(F.col("tokens") / (F.greatest("containers", F.lit(1)) * packing.CAPACITY), 6).alias("filled"))
 
 
+#: Limits that bind beside the tokens: documents, and attention cost as a quarter of a full container's.
+FEW_DOCS, ATTENTION = 24, packing.CAPACITY**2 / 4
+
+
+def p7_balanced(spark: SparkSession, root: str) -> DataFrame:
+    """Containers under all three capacities; a text whose own attention cost is too large stands alone."""
+    items = table(spark, root, "documents").select("doc_id", tokenizer.count_column(F.col("text"), VOCABULARY).alias("size"))
+    packed = packing.pack_containers(items, max_docs=FEW_DOCS, attention=ATTENTION)
+    cost = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, n: s + n * n)
+    return packed.select("container_id", "doc_ids", "sizes", F.col("tokens").alias("fill"), cost.alias("attention"))
+
+
+def p7_limits(spark: SparkSession, root: str) -> DataFrame:
+    """Documents placed, containers over a limit, and whether each limit is reached, to a twentieth, by a container with room under the other two."""
+    c = p7_balanced(spark, root).select("doc_ids", F.size("doc_ids").alias("docs"), "fill", "attention")
+    share = {"tokens": F.col("fill") / packing.CAPACITY, "documents": F.col("docs") / FEW_DOCS, "attention_cost": F.col("attention") / ATTENTION}
+    over = (F.col("fill") > packing.CAPACITY) | (F.col("docs") > FEW_DOCS) | ((F.col("attention") > ATTENTION) & (F.col("docs") > 1))
+    tight = [F.max((s >= 0.95) & F.least(*(1 - share[o] for o in share if o != k)).between(0.05, 1)).alias(k) for k, s in share.items()]
+    placed = c.select(F.explode("doc_ids").alias("doc_id")).agg(F.count_distinct("doc_id").alias("placed"))
+    return c.agg(F.count(F.when(over, 1)).alias("over"), *tight).crossJoin(placed)  # one row each
+
+
 def _scored(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     net = abuse.fit_on(table(spark, root, "content_labels"))
@@ -101,11 +123,12 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.rates(_scored(spark, root), "source")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_rooms": p3_rooms, "p3_leaves": p3_leaves, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_rooms": p3_rooms, "p3_leaves": p3_leaves, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_balanced": p7_balanced, "p7_limits": p7_limits, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _P4 = """SELECT room_cluster_id, id AS photo_id, final_score, row_number() OVER (PARTITION BY room_cluster_id ORDER BY final_score DESC, id) AS place
   FROM (SELECT DISTINCT id, room_cluster_id, final_score FROM job_photos WHERE room_cluster_id IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score))"""
 SQL = {
     "p4_found": f"SELECT room_cluster_id, photo_id FROM ({_P4}) WHERE place <= 3",
     "p4_ranked": f"SELECT * FROM ({_P4}) WHERE place <= 3",
+    "p7_limits": "SELECT 0 AS over, true AS tokens, true AS documents, true AS attention_cost, count(DISTINCT doc_id) AS placed FROM documents",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

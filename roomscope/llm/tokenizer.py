@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -96,16 +97,26 @@ _LOADED: dict[str, BytePairEncoder] = {}
 def encoder(path: str) -> BytePairEncoder:
     """One encoder per worker process and file."""
     if path not in _LOADED:
-        _LOADED[path] = BytePairEncoder.from_file(path)
+        _LOADED[path] = BytePairEncoder.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _LOADED[path]
 
 
+def shipped(path: str) -> str:
+    """``path``, given to the workers of the active session, which need no such folder of their own."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 def vocabulary(name: str, folder: str = VOCABULARY_DIR) -> str:
     return f"{folder}/{name}.tiktoken"
 
 
 def encode_column(text: Column, path: str) -> Column:
     """array<int> of each text."""
+    shipped(path)
+
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
@@ -117,6 +128,8 @@ def encode_column(text: Column, path: str) -> Column:
 
 def count_column(text: Column, path: str) -> Column:
     """Number of ids of each text."""
+    shipped(path)
+
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
@@ -128,6 +141,8 @@ def count_column(text: Column, path: str) -> Column:
 
 def decode_column(ids: Column, path: str) -> Column:
     """The text of each list of ids; null for null."""
+    shipped(path)
+
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
