@@ -50,7 +50,8 @@ def _gray(column: str = "embedding") -> Column:
 def image_scores(spark: SparkSession, root: str) -> DataFrame:
     """Sharpness, exposure and composition of 8x8 grids."""
     grids = table(spark, root, "embeddings").select("vec_id", _gray().alias("g"))
-    return grids.select("vec_id", *[F.round(imaging.gray_score(k, F.col("g"), 8, 8), 6).alias(k) for k in ("sharpness", "exposure", "composition")])
+    scored = grids.select("vec_id", imaging.gray_scores(F.col("g"), 8, 8).alias("s"))
+    return scored.select("vec_id", *[F.round(f"s.{k}", 6).alias(k) for k in ("sharpness", "exposure", "composition")])
 
 
 def depth_metrics(spark: SparkSession, root: str) -> DataFrame:

@@ -158,3 +158,17 @@ def test_models(spark):
     depth = df.where("id = 0").select(models.depth_map(F.col("image"), lambda: lambda images: [np.ones((2, 3)) for _ in images], "depths").alias("d")).first().d
     assert depth == [[1.0] * 3] * 2
     assert models.pick_device(lambda d: d == "cuda") == "cuda" and models.pick_device(lambda d: False) == "cpu"
+
+
+def test_grids_missing_broken_and_many(spark):
+    r = np.random.default_rng(3)
+    g = r.uniform(0, 255, (5, 12, 15))
+    for k, one in enumerate(g):
+        assert imaging.sharpness(g)[k] == pytest.approx(imaging.sharpness(one))
+        assert imaging.composition(g)[k] == pytest.approx(imaging.composition(one))
+        d = (one - one.min()) / (one.max() - one.min() + 1e-8)
+        assert imaging.depth(g)[0][k] == pytest.approx(d.var()) and imaging.depth(g)[1][k] == (np.histogram(d, 10)[0] > 0.05 * d.size).sum()
+    df = spark.createDataFrame([(0, [1.0] * 4), (1, None), (2, [1.0] * 3), (3, [float("nan")] + [1.0] * 3)], "i int, g array<double>")
+    rows = {x.i: (x.s, x.d) for x in df.select("i", imaging.gray_scores(F.col("g"), 2, 2).alias("s"), imaging.depth_metrics(F.col("g"), 2, 2).alias("d")).collect()}
+    assert all(tuple(rows[i][0]) == (0.5, 0.5, 0.5) and tuple(rows[i][1]) == (0.0, 1) for i in (1, 2, 3))
+    assert rows[0][0].sharpness == 0 and tuple(rows[0][1]) == (0.0, 1)
