@@ -1,11 +1,12 @@
 import base64
+import dataclasses
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomscope.llm import abuse, cells, clusters, neighbours, packing, queries, tokenizer, topn
+from roomscope.llm import abuse, cells, clusters, leaves, neighbours, packing, queries, tokenizer, topn
 from tests.conftest import DATA
 from tests.oracle import assert_same
 
@@ -141,6 +142,81 @@ def test_clusters_against_brute_force(spark, cell_rows):
     assert clusters.members(df.limit(0), "id", "v", 0.85).count() == 0
 
 
+def brute_clusters(x, least=0.85):
+    root = np.arange(len(x))
+    i, j = np.nonzero(cosines(x) >= least)
+    root = leaves.roots(root, i, j)
+    size = np.bincount(root, minlength=len(x))
+    return {k: (int(r), int(size[r])) for k, r in enumerate(root) if size[r] > 1}
+
+
+def test_cells_in_several_blocks(spark):
+    """Vectors of one cell that lie in different blocks meet, too."""
+    x, rows = vectors()
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    fitted = cells.fit(df, "id", "v", cell_rows=120, floor=0.85)
+    cut = dataclasses.replace(fitted, blocks=np.full(len(fitted.centres), 3))
+    assert {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cells=cut).collect()} == brute_clusters(x)
+    one = dataclasses.replace(fitted, centres=fitted.centres[:1], blocks=np.array([4]))
+    assert {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cells=one).collect()} == brute_clusters(x)
+    s = cosines(x)
+    np.fill_diagonal(s, -9)
+    want = {(i, k + 1): j for i in range(len(x)) for k, j in enumerate(sorted(range(len(x)), key=lambda j: (-s[i, j], j))[:5]) if s[i, j] >= 0.85}
+    for c in (cut, one):
+        got = {(r.id, r.place): r.near_id for r in neighbours.neighbours(df, "id", "v", 5, 0.85, cells=c).collect()}
+        assert got == want
+    probing = dataclasses.replace(cut, probes=len(cut.centres))
+    near = neighbours.neighbours(df, "id", "v", 5, queries=lambda c: F.pmod(c, F.lit(10)) == 0, cells=probing).collect()
+    assert sum(r.near_id in np.argsort(-s[r.id], kind="stable")[:5] or s[r.id, r.near_id] >= np.sort(s[r.id])[-5] for r in near) >= 0.98 * 250
+
+
+@pytest.mark.parametrize("dim", [6, 512])
+def test_vectors_of_other_lengths(spark, dim):
+    r = np.random.default_rng(6)
+    x = (r.standard_normal((60, dim))[r.integers(0, 60, 300)] + 0.35 * r.standard_normal((300, dim))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1.0] * (dim + 1))], "id long, v array<float>").repartition(3)
+    got = {r.id: (r.first_id, r["size"]) for r in clusters.members(df, "id", "v", 0.85, cell_rows=60, dim=dim, exact=True).collect()}
+    assert got == brute_clusters(x.astype(np.float64))
+    near = neighbours.neighbours(df, "id", "v", 5, 0.85, cell_rows=60, dim=dim).collect()
+    s = cosines(x.astype(np.float64))
+    assert near and all(s[r.id, r.near_id] >= 0.85 and abs(s[r.id, r.near_id] - r.cosine) < 1e-8 for r in near)
+
+
+def test_exact_reach_meets_every_link():
+    """Two vectors of the floor's cosine, however they lie to the border between two cells: one visits the other's."""
+    r = np.random.default_rng(9)
+    reach = cells.reach_of(0.85, 3, True)
+    a = cells.unit(r.standard_normal((20_000, 3)))
+    off = r.standard_normal((20_000, 3))
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    b = 0.85 * a + np.sqrt(1 - 0.85**2) * cells.unit(off)
+    centres = cells.unit(r.standard_normal((30, 3)))
+    ha, hb = np.argmax(a @ centres.T, axis=1), np.argmax(b @ centres.T, axis=1)
+    rows = np.arange(len(a))
+    assert ((ha == hb) | (cells.beyond(a @ centres.T, ha, centres)[rows, hb] <= reach) | (cells.beyond(b @ centres.T, hb, centres)[rows, ha] <= reach)).all()
+
+
+def test_leaves_are_compact_and_their_records_safe():
+    x = cells.unit(vectors()[0])
+    leaf, centre, radius = leaves.compact(x, 0.85)
+    s = x @ x.T
+    assert all((s[np.ix_(leaf == k, leaf == k)] >= 0.85).all() for k in range(leaf.max() + 1))
+    pack = leaves.packed(x, leaf, centre, need=np.full(len(centre), 0.85))
+    seen = leaves.directions(pack["centre"], 64)
+    assert (leaves.angle_of(x, seen[leaf]) <= pack["radius"].astype(float)[leaf]).all()
+    assert (pack["need"].astype(float) <= 0.85).all()
+
+
+def test_leaf_sizes(spark):
+    x, rows = vectors()
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    told = clusters.leaf_sizes(df, "id", "v", 0.85, cell_rows=60).collect()
+    assert sum(r["size"] for r in told) == len(x) and len({r.leaf for r in told}) == len(told)
+    s = cosines(x)
+    assert all(1 <= len(r.typical_ids) <= 3 and s[np.ix_(r.typical_ids, r.typical_ids)].min() >= 0.85 for r in told)
+    assert clusters.leaf_sizes(df.limit(0), "id", "v", 0.85).count() == 0
+
+
 def pairs_beside_near_copies():
     """Rows of which a third are near copies of one vector, the others pairs at a cosine just over 0.85 in all directions."""
     r = np.random.default_rng(8)
@@ -193,7 +269,9 @@ def test_describe(spark):
     found = clusters.members(df, "id", "v", 0.85)
     told = clusters.describe(df, "id", "v", "g", found).collect()
     assert {(r.first_id, r["size"]) for r in told} == {(r.first_id, r["size"]) for r in found.collect()}
-    assert all(1 <= len(r.typical_ids) <= 3 for r in told)
+    assert all(1 <= len(r.typical_ids) <= 3 and r.groups <= 3 for r in told)
+    rooms = clusters.recorded(df, "id", "g", found).collect()
+    assert sum(r.rows for r in rooms) == found.count()
 
 
 def test_words_lose_their_disguise():
