@@ -32,6 +32,8 @@ from . import leaves as lv
 BLOCK, CHANCE, WASTE = 16, 3.0, 0.02
 #: See ``cells``; losing a pair costs less here than among linked clusters.
 DEVIATIONS, CELL_ROWS = 3.5, 56_000
+#: Queries that are compared with all rows in one pass, when recall is measured.
+QUERY_BLOCK = 20_000
 QUERY_ROWS, LIST_ROWS = 1024, 2048
 SCALE = 1_000_000_000
 FOUND = "rep bigint, far array<int>, near array<bigint>, copy bigint"
@@ -369,3 +371,56 @@ def similar_pairs(df: DataFrame, record_id: str, vector: str, k: int = 5, floor:
     """a < b of which one is among the ``k`` most similar of the other, once."""
     pairs = _others(_lists_of(_found(df, record_id, vector, k, floor, None, cells, fitted), k + 1), k).select("id", F.explode("best.near").alias("near"))
     return pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+
+
+def exact_nearest(df: DataFrame, record_id: str, vector: str, queries: Callable[[Column], Column], k: int = 5, floor: float = -1.0, dim: int = ce.DIM, block: int = QUERY_BLOCK) -> DataFrame:
+    """id, near_id, cosine: what ``neighbours`` should find, by comparing each query with every row; to measure recall.
+
+    The queries go in blocks of ``block``, whose size bounds what each task is given; a block is one pass over the table, in which every task keeps its ``k`` best of each query.
+    """
+    rows = df.select(F.col(record_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    asked = rows.where(queries(F.col("id")))
+    blocks = max(1, -(-asked.count() // block))
+
+    def valid(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x, at = ce.matrix(t["vector"], dim)
+        ids = t["id"].take(pa.array(at)) if len(at) else t["id"].slice(0, 0)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        return x[known], ids.drop_null().to_numpy()
+
+    def against(x: np.ndarray, ids: np.ndarray):
+        q = ce.unit(x) if len(x) else x.astype(np.float64)
+        low = q.astype(np.float32)
+
+        def run(batches):
+            have = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            for batch in batches:
+                y, other = valid(batch)
+                if not len(y) or not len(q):
+                    continue
+                u = ce.unit(y)
+                close = low @ u.astype(np.float32).T
+                close[ids[:, None] == other] = -9
+                take = min(k + 3, len(u))  # a few more than k, as these are cosines of little precision
+                j = np.argpartition(-close, take - 1, axis=1)[:, :take].ravel()
+                i = np.repeat(np.arange(len(q)), take)
+                on = close[i, j] >= max(floor, -1) - 1e-5
+                i, j = i[on], j[on]
+                cos = np.round(np.einsum("ij,ij->i", q[i], u[j]), 9)
+                have = tuple(map(np.concatenate, zip(have, (i, other[j], cos), strict=True)))
+                keep = best_of(have[0], have[2], have[1], have[1], k)
+                have = tuple(h[keep] for h in have)
+            on = have[2] >= floor
+            yield pa.record_batch([pa.array(ids[have[0]][on]), pa.array(have[1][on]), pa.array(have[2][on])], names=["id", "near_id", "cosine"])
+
+        return run
+
+    parts = []
+    for b in range(blocks):
+        x, ids = valid(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id"]).toArrow())
+        parts.append(rows.mapInArrow(against(x, ids), "id bigint, near_id bigint, cosine double"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), "near_id"))), 1, k)  # at most k of each task
+    return found.groupBy("id").agg(best.alias("best")).select("id", F.explode("best").alias("x")).select("id", "x.near_id", (-F.col("x.d")).alias("cosine"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -57,10 +57,32 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_nearest(spark: SparkSession, root: str) -> DataFrame:
     """The five nearest, however far, of every row whose id is divisible by 50, against all rows."""
-    near = neighbours.neighbours(table(spark, root, "job_photos"), "id", "embedding", 5, queries=lambda c: F.pmod(c, F.lit(50)) == 0)
+    near = neighbours.neighbours(table(spark, root, "job_photos"), "id", "embedding", 5, queries=_every_50th)
     return near.select(F.col("id").alias("photo_id"), F.col("near_id").alias("similar_photo_id"), "place", "cosine")
 
 
+def _every_50th(c: Column) -> Column:
+    return F.pmod(c, F.lit(50)) == 0
+
+
+def p5_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Of the true five nearest (of at least LINK) of every row whose id is divisible by 50, compared with all rows, how many pairs p5_found has."""
+    photos = table(spark, root, "job_photos")
+    true = neighbours.exact_nearest(photos, "id", "embedding", _every_50th, 5, LINK)
+    pairs = true.select(F.least("id", "near_id").alias("photo_id_a"), F.greatest("id", "near_id").alias("photo_id_b")).distinct()
+    both = pairs.join(p5_found(spark, root).withColumn("there", F.lit(1)), ["photo_id_a", "photo_id_b"], "left")
+    return both.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("there").alias("found"))
+
+
+def p3_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Of the links of every row whose id is divisible by 50 with its five nearest, how many lie within one cluster of p3_found."""
+    found = p3_found(spark, root)
+    true = neighbours.exact_nearest(table(spark, root, "job_photos"), "id", "embedding", _every_50th, 5, LINK)
+    side = lambda name: found.select(F.col("photo_id").alias(name), F.col("first_photo_id").alias(f"first_{name}"))
+    both = true.join(side("id"), "id", "left").join(side("near_id"), "near_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("links"), F.count(F.when(F.col("first_id") == F.col("first_near_id"), 1)).alias("kept"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, root, "documents"), "doc_id", "text", VOCABULARY)
 
@@ -123,12 +145,21 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.rates(_scored(spark, root), "source")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_rooms": p3_rooms, "p3_leaves": p3_leaves, "p5_found": p5_found, "p5_nearest": p5_nearest, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_balanced": p7_balanced, "p7_limits": p7_limits, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p3_rooms": p3_rooms, "p3_leaves": p3_leaves, "p3_recall": p3_recall, "p5_found": p5_found, "p5_nearest": p5_nearest, "p5_recall": p5_recall, "p4_found": p4_found, "p4_ranked": p4_ranked, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_balanced": p7_balanced, "p7_limits": p7_limits, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _P4 = """SELECT room_cluster_id, id AS photo_id, final_score, row_number() OVER (PARTITION BY room_cluster_id ORDER BY final_score DESC, id) AS place
   FROM (SELECT DISTINCT id, room_cluster_id, final_score FROM job_photos WHERE room_cluster_id IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score))"""
+#: The closure of all links, over distinct vectors; DuckDB needs the small tables.
+_P3 = """WITH RECURSIVE v AS MATERIALIZED (SELECT min(id) AS id, list(DISTINCT id) AS ids, e FROM (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM job_photos
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY e),
+  u AS MATERIALIZED (SELECT id, ids, CAST(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS DOUBLE[64]) AS e FROM v),
+  l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON round(array_inner_product(a.e, b.e), 9) >= 0.85),
+  r AS (SELECT id, id AS first FROM u UNION SELECT l.b, r.first FROM r JOIN l ON l.a = r.id WHERE r.first < l.b),
+  c AS (SELECT unnest(u.ids) AS id, m.first FROM u JOIN (SELECT id, min(first) AS first FROM r GROUP BY 1) m ON m.id = u.id)
+"""
 SQL = {
     "p4_found": f"SELECT room_cluster_id, photo_id FROM ({_P4}) WHERE place <= 3",
     "p4_ranked": f"SELECT * FROM ({_P4}) WHERE place <= 3",
+    "p3_found": _P3 + "SELECT id AS photo_id, first AS first_photo_id FROM (SELECT id, first, count(*) OVER (PARTITION BY first) AS n FROM c) WHERE n > 1",
     "p7_limits": "SELECT 0 AS over, true AS tokens, true AS documents, true AS attention_cost, count(DISTINCT doc_id) AS placed FROM documents",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -217,6 +217,18 @@ def test_leaf_sizes(spark):
     assert clusters.leaf_sizes(df.limit(0), "id", "v", 0.85).count() == 0
 
 
+def test_exact_nearest(spark):
+    x, rows = vectors()
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    s = cosines(x)
+    np.fill_diagonal(s, -9)
+    want = {(i, j) for i in range(0, 500, 10) for j in sorted(range(500), key=lambda j: (-s[i, j], j))[:5] if s[i, j] >= 0.85}
+    for block in (10, 1000):
+        got = neighbours.exact_nearest(df, "id", "v", lambda c: F.pmod(c, F.lit(10)) == 0, 5, 0.85, block=block).collect()
+        same = {(r.id, r.near_id) for r in got}
+        assert len(got) == len(want) and sum(p in want or s[p] == min(s[q] for q in want if q[0] == p[0]) for p in same) == len(want)
+
+
 def pairs_beside_near_copies():
     """Rows of which a third are near copies of one vector, the others pairs at a cosine just over 0.85 in all directions."""
     r = np.random.default_rng(8)
