@@ -213,6 +213,16 @@ SQL = {
       p AS (SELECT label, list(v / nrm ORDER BY i) AS p FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY label)) AS nrm FROM m) GROUP BY label),
       s AS (SELECT vec_id, p.label, list_dot_product(x, p.p) AS d FROM e, p)
       SELECT vec_id, arg_max(label, (d, -label)) AS label, round(max(exp(d)) / sum(exp(d)), 6) AS confidence FROM s GROUP BY vec_id""",
+    "room_sub_clusters": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT id, job_id, coalesce(nullif(room_override, ''), nullif(room_label, ''), 'unknown') AS label, CAST(embedding AS DOUBLE[]) AS e,
+        coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM {_JP} WHERE NOT coalesce(exclude, false)),
+      p AS MATERIALIZED (SELECT id, job_id, label, ok, CASE WHEN ok THEN e ELSE [1.0::DOUBLE] END AS e FROM o),
+      g AS MATERIALIZED (SELECT *, bool_and(ok) OVER w AND min(len(e)) OVER w = max(len(e)) OVER w AS divided, min(id) OVER w AS group_first FROM p WINDOW w AS (PARTITION BY job_id, label)),
+      u AS MATERIALIZED (SELECT id, job_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM g WHERE divided),
+      l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.job_id = b.job_id AND a.label = b.label AND round(list_dot_product(a.e, b.e), 9) >= 0.7),
+      r AS (SELECT id, id AS first FROM u UNION SELECT l.b, r.first FROM r JOIN l ON l.a = r.id WHERE r.first < l.b),
+      c AS (SELECT g.id, g.job_id, g.label, coalesce(m.first, g.group_first) AS first_id FROM g LEFT JOIN (SELECT id, min(first) AS first FROM r GROUP BY 1) m ON m.id = g.id),
+      n AS (SELECT *, min(first_id) OVER (PARTITION BY job_id, label) AS label_first FROM c)
+      SELECT id, job_id, label, first_id, dense_rank() OVER (PARTITION BY job_id ORDER BY label_first, label, first_id) AS cluster_seq FROM n""",
     "cluster_metrics": f"""SELECT room_cluster_id, n AS image_count, round(m, 9) AS depth_variance, CASE WHEN round(m, 9) > 0.06 THEN 'high' WHEN round(m, 9) > 0.035 THEN 'medium' ELSE 'low' END AS tier
       FROM (SELECT room_cluster_id, count(*) AS n, avg(CASE WHEN NOT isnan(depth_variance) THEN depth_variance END) AS m FROM {_JP} WHERE room_cluster_id IS NOT NULL AND NOT coalesce(exclude, false) GROUP BY 1)""",
     "hero_photo": f"""SELECT room_cluster_id, arg_max(id, (CASE WHEN {_true_sql("hero_room")} THEN 100.0::DOUBLE WHEN {_true_sql("preferred_opening")} THEN 50.0::DOUBLE
