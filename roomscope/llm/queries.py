@@ -156,10 +156,16 @@ _P3 = """WITH RECURSIVE v AS MATERIALIZED (SELECT min(id) AS id, list(DISTINCT i
   r AS (SELECT id, id AS first FROM u UNION SELECT l.b, r.first FROM r JOIN l ON l.a = r.id WHERE r.first < l.b),
   c AS (SELECT unnest(u.ids) AS id, m.first FROM u JOIN (SELECT id, min(first) AS first FROM r GROUP BY 1) m ON m.id = u.id)
 """
+_P5 = """WITH v AS MATERIALIZED (SELECT DISTINCT id, CAST(embedding AS DOUBLE[]) AS e FROM job_photos
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  u AS MATERIALIZED (SELECT id, CAST(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS DOUBLE[64]) AS e FROM v),
+  n AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY round(array_inner_product(a.e, b.e), 9) DESC, b.id) AS place FROM u a JOIN u b ON a.id <> b.id AND round(array_inner_product(a.e, b.e), 9) >= 0.85)
+  SELECT DISTINCT least(a, b) AS photo_id_a, greatest(a, b) AS photo_id_b FROM n WHERE place <= 5"""
 SQL = {
     "p4_found": f"SELECT room_cluster_id, photo_id FROM ({_P4}) WHERE place <= 3",
     "p4_ranked": f"SELECT * FROM ({_P4}) WHERE place <= 3",
     "p3_found": _P3 + "SELECT id AS photo_id, first AS first_photo_id FROM (SELECT id, first, count(*) OVER (PARTITION BY first) AS n FROM c) WHERE n > 1",
+    "p5_found": _P5,
     "p7_limits": "SELECT 0 AS over, true AS tokens, true AS documents, true AS attention_cost, count(DISTINCT doc_id) AS placed FROM documents",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
