@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
-#: Rows of a cell, rows of the sample for each cell, and the least and most rows of the sample.
+#: Rows of a cell, and of the smallest cells that are made for more cores; rows of the sample for each cell, and the least and most rows of the sample.
+LEAST_ROWS = 5_000
 CELL_ROWS, ROWS_PER_CELL, SAMPLE_ROWS, MOST_SAMPLE = 40_000, 32, 32_000, 400_000
 #: Standard deviations of the way across a border, in random direction, that the reach covers; recall and rows by which probes are set.
 DEVIATIONS, RECALL, PROBE_ROWS = 4.25, 0.98, 2_000
@@ -162,7 +163,7 @@ def fit(df: DataFrame, record_id: str, vector: str, cell_rows: int = CELL_ROWS,
     The reach is for pairs of cosine ``floor``, with ``exact`` proven; from -1 on, probes for ``k`` nearest. Where the most rows of a sample make too few cells, cells have more blocks.
     """
     n = df.count()
-    cells = math.ceil(n / cell_rows)
+    cells = max(math.ceil(n / cell_rows), min(2 * df.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))  # small tables have a cell for every core, too
     if cells < 2:
         return Cells(np.zeros((1, dim), np.float32), 0.0)
     parts = math.ceil(n / min(MOST_SAMPLE, max(sample_rows, ROWS_PER_CELL * cells)))
