@@ -66,10 +66,13 @@ def zero_shot_label(spark: SparkSession, root: str) -> DataFrame:
     mean = v.groupBy("label").agg(F.array(*[F.avg(F.get("x", F.lit(k))) for k in range(64)]).alias("p"))
     unit = lambda name: F.transform(name, lambda e: e / F.sqrt(F.aggregate(name, F.lit(0.0), lambda s, q: s + q * q)))
     protos = mean.select(F.col("label").alias("proto"), unit("p").alias("p"))
-    dot = F.aggregate(F.zip_with("x", "p", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
-    scored = v.crossJoin(F.broadcast(protos)).select("vec_id", "proto", dot.alias("d"))
-    best = scored.groupBy("vec_id").agg(F.max_by("proto", F.struct("d", -F.col("proto"))).alias("label"), F.max(F.exp("d")).alias("top"), F.sum(F.exp("d")).alias("all"))
-    return best.select("vec_id", "label", F.round(F.col("top") / F.col("all"), 6).alias("confidence"))
+    # the vocabulary goes to every row as one array, so that rows times labels are never shuffled
+    all_ = protos.agg(F.sort_array(F.collect_list(F.struct("proto", "p"))).alias("protos"))
+    product = lambda p: F.aggregate(F.zip_with("x", p, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    scores = F.transform("protos", lambda q: F.struct(product(q["p"]).alias("d"), (-q["proto"]).alias("label")))
+    scored = v.crossJoin(F.broadcast(all_)).select("vec_id", scores.alias("s"))  # one row
+    best = scored.select("vec_id", F.array_max("s").alias("best"), F.aggregate("s", F.lit(0.0), lambda t, e: t + F.exp(e["d"])).alias("all"))
+    return best.select("vec_id", (-F.col("best.label")).alias("label"), F.round(F.exp("best.d") / F.col("all"), 6).alias("confidence"))
 
 
 def room_sub_clusters(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions import models
+from ..functions import models, tables
 from ..operators import joins, stages
 from ..session import shared_folder
 from ..sources import blobs, schemas
@@ -164,6 +164,18 @@ def order_ranks(spark: SparkSession, root: str) -> DataFrame:
     return o.select("o_orderkey", F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 9).alias("share"), F.round(F.cume_dist().over(w), 9).alias("cumulative"), F.round(F.sum("o_totalprice").over(month), 2).alias("month_spend"), F.count(F.lit(1)).over(month).alias("month_orders"))
 
 
+def allowed_motions(spark: SparkSession, root: str) -> DataFrame:
+    """The entries of a comma list by a table function."""
+    tables.register(spark)
+    _one(spark, root, "room_clusters").createOrReplaceTempView("roomscope_clusters")
+    return spark.sql("SELECT id, m.place, m.entry FROM roomscope_clusters, LATERAL split_list(allowed_motion_types) m")
+
+
+def median_price(spark: SparkSession, root: str) -> DataFrame:
+    """The median by an aggregate function over batches."""
+    return table(spark, root, "part").groupBy("p_brand").agg(F.round(tables.middle("p_retailprice"), 4).alias("median"))
+
+
 def _trip(write, read):
     def run(spark: SparkSession, root: str) -> DataFrame:
         rows, path = table(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment"), shared_folder(spark, "trip")
@@ -195,7 +207,7 @@ def declared_columns(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (job_lookup, first_job, error_text, job_photo_batch, missing_work, label_source, source_ids_csv, cluster_debug, clusters_per_job, clip_hours_per_job, depth_range, photo_groups, latest_event, state_stream, sliding_counts, view_to_purchase, beat_grid_snap, edited_timelines, uncached_clips, model_embedding, user_event_map, approximate_users, order_ranks, object_existence, declared_columns)
+    for f in (job_lookup, first_job, error_text, job_photo_batch, missing_work, label_source, source_ids_csv, cluster_debug, clusters_per_job, clip_hours_per_job, depth_range, photo_groups, latest_event, state_stream, sliding_counts, view_to_purchase, beat_grid_snap, edited_timelines, uncached_clips, model_embedding, user_event_map, approximate_users, order_ranks, allowed_motions, median_price, object_existence, declared_columns)
 } | {"csv_round_trip": csv_round_trip, "orc_round_trip": orc_round_trip}
 _D = "(SELECT DISTINCT ON (id) * FROM {})"
 _JP, _CLIPS, _JOBS, _RC, _TC, _TL = (_D.format(t) for t in ("job_photos", "clips", "jobs", "room_clusters", "timeline_clips", "timelines"))
@@ -226,6 +238,8 @@ SQL = {
     "approximate_users": "SELECT event_type, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1",
     "order_ranks": """SELECT o_orderkey, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 9) AS share, round(cume_dist() OVER w, 9) AS cumulative, round(sum(o_totalprice) OVER m, 2) AS month_spend, count(*) OVER m AS month_orders FROM orders
       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), m AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)""",
+    "allowed_motions": f"SELECT id, CAST(k AS INTEGER) AS place, trim(string_split(allowed_motion_types, ',')[k]) AS entry FROM {_RC}, range(1, 100) t(k) WHERE k <= len(string_split(allowed_motion_types, ',')) AND trim(string_split(allowed_motion_types, ',')[k]) <> ''",
+    "median_price": "SELECT p_brand, round(median(p_retailprice), 4) AS median FROM part GROUP BY 1",
     "csv_round_trip": _CUSTOMER,
     "orc_round_trip": _CUSTOMER,
     "object_existence": "SELECT * FROM (VALUES ('region.parquet', true), ('s3://tables/nation.parquet', true), ('nothing.parquet', false), ('parquet', false)) t(key, there)",
