@@ -399,13 +399,15 @@ def exact_nearest(df: DataFrame, record_id: str, vector: str, queries: Callable[
                 if not len(y) or not len(q):
                     continue
                 u = ce.unit(y)
-                close = low @ u.astype(np.float32).T
-                close[ids[:, None] == other] = -9
-                take = min(k + 3, len(u))  # a few more than k, as these are cosines of little precision
-                j = np.argpartition(-close, take - 1, axis=1)[:, :take].ravel()
-                i = np.repeat(np.arange(len(q)), take)
-                on = close[i, j] >= max(floor, -1) - 1e-5
-                i, j = i[on], j[on]
+                take, narrow, hits = min(k + 3, len(u)), u.astype(np.float32).T, []  # a few more than k, as these are cosines of little precision
+                for s in range(0, len(q), QUERY_ROWS):
+                    close = low[s : s + QUERY_ROWS] @ narrow
+                    close[ids[s : s + QUERY_ROWS, None] == other] = -9
+                    j = np.argpartition(-close, take - 1, axis=1)[:, :take].ravel()
+                    i = np.repeat(np.arange(len(close)), take)
+                    on = close[i, j] >= max(floor, -1) - 1e-5
+                    hits.append((i[on] + s, j[on]))
+                i, j = map(np.concatenate, zip(*hits, strict=True))
                 cos = np.round(np.einsum("ij,ij->i", q[i], u[j]), 9)
                 have = tuple(map(np.concatenate, zip(have, (i, other[j], cos), strict=True)))
                 keep = best_of(have[0], have[2], have[1], have[1], k)
