@@ -27,6 +27,10 @@ from . import leaves as lv
 ROWS = f"id bigint, part bigint, near double, copy bigint, leaf bigint, vecs binary, {lv.VISIT}"
 
 
+#: Rows of a cluster that are described in one group.
+SALT_ROWS = 50_000
+
+
 def link(x: np.ndarray, least: float) -> np.ndarray:
     """Component of each unit row, rows being linked if their cosine, rounded to nine decimals, is at least ``least``."""
     leaf, centre, radius = lv.compact(x, least)
@@ -177,14 +181,17 @@ def _typical(rows: DataFrame, key: str, typical: int) -> DataFrame:
 
 def describe(df: DataFrame, record_id: str, vector: str, group: str, found: DataFrame, typical: int = 3, dim: int = ce.DIM) -> DataFrame:
     """first_id, size, typical_ids (nearest to the centre first) and the number of recorded groups of each cluster of ``found``; ``recorded`` lists the groups."""
-    rows = df.select(F.col(record_id).alias("id"), F.col(vector).cast("array<float>").alias("x"), F.col(group).alias("grp")).dropDuplicates(["id"])
-    rows = rows.join(found, "id")
+    rows = df.select(F.col(record_id).alias("id"), F.col(vector).cast("array<float>").alias("x")).dropDuplicates(["id"]).join(found, "id")
+    salt = F.pmod(F.xxhash64("id"), 1 + F.floor(F.col("size") / SALT_ROWS)).cast("int")  # a large cluster is several groups
+    rows = rows.select("first_id", salt.alias("salt"), "id", "x").repartition("first_id", "salt")  # once, for both the centres and the distances from them
     double = F.transform("x", lambda e: e.cast("double"))
     norm = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, e: s + e * e))
-    means = rows.withColumn("n", norm).groupBy("first_id").agg(*[F.avg(F.get("x", F.lit(k)).cast("double") / F.col("n")).alias(f"c{k}") for k in range(dim)])
-    centres = means.select("first_id", F.array(*[f"c{k}" for k in range(dim)]).alias("c"))
-    near = F.round(F.aggregate(F.zip_with(double, "c", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) / norm, 9)
-    best = _typical(rows.join(centres, "first_id").select("first_id", "id", near.alias("near")), "first_id", typical)
+    sums = rows.withColumn("n", norm).groupBy("first_id", "salt").agg(F.min("id").alias("least"), *[F.sum(F.get("x", F.lit(k)).cast("double") / F.col("n")).alias(f"c{k}") for k in range(dim)])
+    whole = sums.groupBy("first_id").agg(F.collect_set("salt").alias("salts"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(dim)])  # one of SALT_ROWS rows each
+    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, e: s + e * e))
+    centres = whole.select("first_id", F.explode("salts").alias("salt"), F.array(*[f"c{k}" for k in range(dim)]).alias("c")).withColumn("length", length)
+    near = F.round(F.aggregate(F.zip_with(double, "c", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) / norm / F.greatest("length", F.lit(1e-12)), 9)
+    best = _typical(rows.join(centres, ["first_id", "salt"]).select("first_id", "id", near.alias("near")), "first_id", typical)
     sets = found.groupBy("first_id").agg(F.max("size").alias("size"))
     groups = recorded(df, record_id, group, found).groupBy("first_id").agg(F.count("grp").alias("groups"))
     return sets.join(best, "first_id").join(groups, "first_id").select("first_id", "size", "typical_ids", "groups")
