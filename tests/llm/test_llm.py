@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomscope.llm import abuse, cells, clusters, leaves, neighbours, packing, queries, tokenizer, topn
+from roomscope.llm.abuse_words import Reader
 from tests.conftest import DATA
 from tests.oracle import assert_same
 
@@ -296,6 +297,16 @@ def test_words_lose_their_disguise():
     assert abuse.words("idiot2 ni66er id7788abc") == ["idiotz", "nigger", "#x", "abc"]
 
 
+def test_unknown_words_mean_nothing_and_torn_ones_are_read():
+    assert abuse.words("you id<b>io</b>t &#105;diot Te v_o_y a") == ["you", "idiot", "idiot", "te", "voy", "a"]
+    read = Reader({"you", "are", "an", "idiot", "asshole", "the", "house", "on", "lane", "a"}, {"idiot", "asshole"}, {"idiom", "idot"})
+    for text in ("you are an id-iot", "youareanidiot", "you_are an idoit", "you are an **idiot**", "you are an 1diot", "you are an id*ot", "you are an toidi"):
+        assert read(abuse.words(text)) == ["you", "are", "an", "idiot"], text
+    assert read(["assh0le", "idiots", "assholes"]) == ["#u", "idiot", "asshole"] and read(["idot", "idiom"]) == ["#u", "#u"]
+    assert read(abuse.words("The house on Quinfel Lane")) == read(abuse.words("The house on Zorbathwy Lane")) == ["the", "house", "on", "#u", "lane"]
+    assert read(["b"] * 9 + ["you"]) == ["#u", "#u", "you"] and read([]) == []
+
+
 def test_windows_cover_all_words():
     for n in (1, 15, 16, 17, 40, 99):
         assert {k for s in abuse.windows(n) for k in range(s, min(n, s + abuse.WINDOW))} == set(range(n))
