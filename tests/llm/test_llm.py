@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomscope.llm import abuse, cells, clusters, leaves, neighbours, packing, queries, tokenizer, topn
-from roomscope.llm.abuse_words import Reader
+from roomscope.llm import abuse, abuse_examples, cells, clusters, leaves, neighbours, packing, queries, tokenizer, topn
+from roomscope.llm.abuse_words import Reader, ordinary
 from tests.conftest import DATA
 from tests.oracle import assert_same
 
@@ -307,6 +307,27 @@ def test_unknown_words_mean_nothing_and_torn_ones_are_read():
     assert read(["b"] * 9 + ["you"]) == ["#u", "#u", "you"] and read([]) == []
 
 
+def test_innocent_words_are_no_kind_of_offence():
+    bad = {w for w, k in abuse.kinds_of_words().items() if k < abuse.ADDRESS} | abuse.strong_words()
+    innocent = "fini for pauvre type ton tes tus less good half like this sent con nobody gens gros hommes moins pedazo".split()
+    assert not bad & set(innocent)
+    assert {"connard", "titten", "polla", "vermin", "refugees", "idiot", "untermenschen"} <= bad
+    known = {"a", "frame", "you", *abuse.strong_words()}
+    plain = ordinary(Reader(known, abuse.strong_words()), {"crooked"}, frozenset({"crook"}))
+    assert Reader(known, abuse.strong_words(), plain)(abuse.words("a crooked frame, you crooks")) == ["a", "#u", "frame", "you", "crook"]
+
+
+def test_frames_without_their_offence_and_evened_windows():
+    rng = random.Random(3)
+    made = [abuse_examples.fill(p, rng, abuse_examples.FILLERS) for own in abuse_examples.frames() for p in own]
+    assert len(made) > 80 and not {w for s in made for w in abuse.words(s)} & {"idiot", "moron", "vermin", "refugees", "connard", "gilipollas", "arschloch"}
+    rows = [(["you", "are", "an", "idiot"], 1)] * 6 + [(["the", "view", "is", "good"], 0)] * 6
+    out = abuse.evened(rows, {"idiot"}, 1)
+    assert [y for _, y in out] == [y for _, y in rows] and out[:6] == rows[:6]
+    put = [w for row, _ in out[6:] for w in row]
+    assert {"you", "are", "an"} & set(put) and "idiot" not in put and [len(row) for row, _ in out] == [4] * 12
+
+
 def test_windows_cover_all_words():
     for n in (1, 15, 16, 17, 40, 99):
         assert {k for s in abuse.windows(n) for k in range(s, min(n, s + abuse.WINDOW))} == set(range(n))
